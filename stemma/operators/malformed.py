@@ -47,7 +47,7 @@ def free(name: str) -> Field:
 
 def filled(name: str) -> Field:
     """As free text, but not blank."""
-    return Field(name, rf"(?=[^\",]*[^\s\",])[^\",{_BAD}]*", rf"(?=(?:[^\"\S]|\"\"\s)*[^\s])(?:[^\"{_BAD}]++|\"\"|\r?\n)*+")
+    return Field(name, rf"(?=[^\",]*[^\s\",])[^\",{_BAD}]*", rf"(?=[^\s\"]|\"\")(?:[^\"{_BAD}]++|\"\"|\r?\n)*+")
 
 
 def senses(name: str) -> Field:
