@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.util import cut
+from stemma.util import cut, ship
 
 ROOTED, ON_CYCLE, BELOW_CYCLE = "rooted", "cycle", "below"
 _NODE = "node string, parent string, size long"
@@ -66,6 +66,7 @@ def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", no
     size counts the node itself. With ``paths=False`` the path column is null.
     An empty table gives an empty result.
     """
+    ship(parents.sparkSession)
     links = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent")).filter("node is not null and parent is not null")
     # one message per node and one per parent; each round adds them up by node
     messages = links.select("node", "parent").unionByName(

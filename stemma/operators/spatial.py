@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.util import broadcast_if_small, cut
+from stemma.util import broadcast_if_small, cut, ship
 
 #: Mean radius of the Earth in km, as the great-circle distance uses it.
 RADIUS_KM = 6371.0
@@ -126,6 +126,7 @@ def _cover(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame
 
 def coverage(regions: DataFrame, key: str, ring: str, depth: int = 9) -> DataFrame:
     """region, level, i, j, inner, edges: the cells of each ring (array of structs with lng and lat, closed or not)."""
+    ship(regions.sparkSession)
     rings = regions.select(F.col(key).alias("region"), F.col(ring).alias("ring")).filter("region is not null and ring is not null")
     return rings.mapInPandas(lambda it: _cover(it, depth), f"region {dict(rings.dtypes)['region']}, level int, i int, j int, inner boolean, edges array<array<double>>")
 

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,3 +71,22 @@ def islands(df: DataFrame, partition: Sequence[str], value: str, name: str = "is
 def try_int(col: Column) -> Column:
     """Leading integer of a text, as a lenient parser reads it; null if there is none."""
     return F.regexp_extract(F.coalesce(col, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for the Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="stemma-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/stemma.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(p.relative_to(package.parent)))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
