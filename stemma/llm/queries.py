@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import packing, tokens
+from stemma.llm import packing, reading, tokens
 from stemma.util import table
 
 
@@ -29,5 +29,17 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, profiles, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.hard_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels")).distinct()
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's level, rounded, with its words and whether it counts as English; null without words."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    model = reading.train(docs, table(spark, d, "reading_labels"))
+    scored = reading.score(docs, model, "doc_id", "text")
+    return scored.select("doc_id", F.floor(F.col("score") + 0.5).cast("int").alias("level"), (F.col("english") >= reading.ENGLISH).alias("is_english"), "words")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
 SQL = {"p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents"}
