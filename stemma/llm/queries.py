@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import packing, reading, tokens
+from stemma.llm import packing, reading, survivors, tokens
 from stemma.util import table
 
 
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "conflict_record")
+    claims = records.select("entity_type", "entity_id", "field", F.explode("claims").alias("c")).select("entity_type", "entity_id", "field", "c.source_id", "c.value", "c.asserted_at")
+    # the last claim of each source first, then the entities' lists: the hot groups are small by then
+    facts = survivors.newest(claims, ["entity_type", "entity_id", "field"], "source_id", "value", "asserted_at")
+    entities = [survivors.listed(table(spark, d, t), "id", "sources").withColumn("entity_type", F.lit(t)) for t in ("person", "place")]
+    known = entities[0].unionByName(entities[1])
+    facts = facts.withColumn("listed_field", survivors.field_name(F.col("field"))).join(known, ["entity_type", "entity_id", "source", "listed_field"], "left_semi")
+    trust = table(spark, d, "source_registry").select(F.col("domain").alias("entity_type"), F.col("source_id").alias("source"), "precedence")
+    return survivors.choose(facts, ["entity_type", "entity_id", "field"], trust)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d).select("entity_id", "field", F.col("source").alias("source_id"), "value")
+
+
+def p5_layers(spark: SparkSession, d: str) -> DataFrame:
+    return _survivors(spark, d).select("entity_id", "field", "layer", "claims")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -41,5 +61,22 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", F.floor(F.col("score") + 0.5).cast("int").alias("level"), (F.col("english") >= reading.ENGLISH).alias("is_english"), "words")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
-SQL = {"p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents"}
+QUERIES = {f.__name__: f for f in (p5_found, p5_layers, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
+_STATED = "nullif(trim(c.value, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '')"
+_SOURCE = r"regexp_replace(lower(trim(%s)), '[\s_-]+', '-', 'g')"
+_SQL_CLAIMS = rf"""
+with k as (select entity_type, entity_id, field, unnest(claims) c from conflict_record),
+c as (select entity_type, entity_id, field, {_SOURCE % "c.source_id"} source_id, {_STATED} v, c.asserted_at at_ from k),
+e as (select 'person' entity_type, id, unnest(sources) s from person union all select 'place', id, unnest(sources) from place),
+f as (select entity_type, id, {_SOURCE % "s.source_id"} source_id, unnest(s.fields) f from e),
+l as (select distinct entity_type, id entity_id, source_id, regexp_replace(lower(f), '[^a-z0-9]', '', 'g') f from f),
+x as (select c.*, precedence, lower(v) in ('?', '-', '—', '...', 'n/a', 'na', 'none', 'null', 'tbd', 'unknown', 'not known') is false ok
+  from c join source_registry r on r.domain = entity_type and r.source_id = c.source_id
+  semi join l on l.entity_type = c.entity_type and l.entity_id = c.entity_id and l.source_id = c.source_id and l.f = regexp_replace(lower(c.field), '[^a-z0-9]', '', 'g'))
+"""
+SQL = {
+    "p5_found": _SQL_CLAIMS
+    + """select entity_id, field, source_id, v "value" from x where ok
+qualify row_number() over (partition by entity_type, entity_id, field order by precedence, at_ desc nulls last, v) = 1""",
+    "p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents",
+}
