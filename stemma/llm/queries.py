@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import packing, reading, survivors, tokens
+from stemma.llm import matching, packing, reading, survivors, tokens
 from stemma.util import table
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    source = lambda t, *columns: matching.Source(table(spark, d, t), *columns)
+    person = matching.match(source("person", "id", "name", "verse_refs", None, None, "name_meaning"), source("ext_person", "ext_id", "english_label", "verse_refs", None, None, "meaning"))
+    place = matching.match(source("place", "id", "name", "verse_refs", "lat", "lng"), source("geo_row", "id", "name", "verse_refs", "lat", "lng"))
+    return person.withColumn("kind", F.lit("person")).unionByName(place.withColumn("kind", F.lit("place")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("kind", F.col("left_id").alias("id"), F.col("right_id").alias("ext_id"))
+
+
+def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("kind", F.col("left_id").alias("id"), F.col("right_id").alias("ext_id"), F.round("confidence", 6).alias("confidence"))
+
+
 def _survivors(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "conflict_record")
     claims = records.select("entity_type", "entity_id", "field", F.explode("claims").alias("c")).select("entity_type", "entity_id", "field", "c.source_id", "c.value", "c.asserted_at")
@@ -61,7 +76,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", F.floor(F.col("score") + 0.5).cast("int").alias("level"), (F.col("english") >= reading.ENGLISH).alias("is_english"), "words")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_layers, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_layers, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
 _STATED = "nullif(trim(c.value, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '')"
 _SOURCE = r"regexp_replace(lower(trim(%s)), '[\s_-]+', '-', 'g')"
 _SQL_CLAIMS = rf"""
