@@ -302,7 +302,7 @@ select ext_id, n "name", case when contains(e, '(') and b <> '' and b <> n then
     "id_names": r"select seq, array_to_string(list_transform(string_split(regexp_replace(id, '_\d+$', ''), '_'), lambda p: upper(p[1]) || p[2:]), ' ') \"name\" from person".replace('\\"', '"'),
     "verse_labels": f"with {_MEN} select id, osis_id, case when len(string_split(osis_id, '.')) = 3 then split_part(osis_id, '.', 1) || ' ' || split_part(osis_id, '.', 2) || ':' || split_part(osis_id, '.', 3) else osis_id end \"label\", 'verse:' || osis_id node from m",
     "normalized_refs": r"""with p as (select seq, generate_subscripts(x, 1) i, unnest(x) s from (select seq, string_split_regex(verses, '[,;]') x from people where verses is not null)),
-t as (select seq, i, trim(split_part(trim(s), '-', 1)) k from p), f as (select seq, k, min(i) i from t where regexp_full_match(k, '[A-Za-z0-9_]+\.\d+\.\d+') group by all)
+u as (select seq, i, split_part(regexp_replace(s, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'), '-', 1) k from p), t as (select seq, i, regexp_replace(k, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') k from u), f as (select seq, k, min(i) i from t where regexp_full_match(k, '[A-Za-z0-9_]+\.\d+\.\d+') group by all)
 select people.seq, coalesce(r, '') refs from people left join (select seq, string_agg(k, ' ' order by i) r from f group by 1) x on x.seq = people.seq""",
     "event_props": "select event_id, props::json->>'$.page' page, props::json->>'$.ref' as \"ref\" from events",
     "verse_runs": f"""{_V}, d as (select distinct book, chapter, verse from verses where verse is not null), i as (select *, verse - row_number() over (partition by book, chapter order by verse) g from d), r as (select book, chapter, min(verse) a, max(verse) b from i group by book, chapter, g)
