@@ -173,7 +173,7 @@ def senses(c: Column) -> Column:
 
 def relation(depth: Column) -> Column:
     """What a descendant is called at a depth."""
-    return F.when(depth < 1, None).when(depth == 1, "son").when(depth == 2, "grandson").when(depth == 3, "great-grandson").otherwise(F.concat((depth - 2).cast("string"), F.lit("× great-grandson")))
+    return F.when(depth == 0, "focused").when(depth == 1, "son").when(depth == 2, "grandson").when(depth == 3, "great-grandson").otherwise(F.concat((depth - 2).cast("string"), F.lit("× great-grandson")))
 
 
 def confidence_label(c: Column) -> Column:
