@@ -335,7 +335,7 @@ select ext_id person_id, arg_min(m, (case when p then 1 else 3 end + case when s
     "place_match": f"{_MATCH} select * from mt",
     "place_corroboration": f"""{_MATCH}, p as (select id, case when lat between -90 and 90 and lng between -180 and 180 then lat end lat, case when lat between -90 and 90 and lng between -180 and 180 then lng end lng, confidence c, precision pr from pl),
 gg as (select mt.place_id, lat, lng, confidence, seq from geo_row join mt on mt.row_id = geo_row.id where lat is not null and lng is not null and mt.place_id is not null),
-k as (select p.id, g.confidence gc, g.seq, {_HAV} a from p join gg g on g.place_id = p.id where c is null and p.lat is not null and p.lng is not null), n as (select id, arg_min(gc, ({_KM}, seq)) gc, min({_KM}) km from k group by 1),
+k as (select p.id, g.confidence gc, g.seq, {_HAV} a from p join gg g on g.place_id = p.id where c is null and p.lat is not null and p.lng is not null), n as (select id, arg_min({{'c': gc}}, ({_KM}, seq)).c gc, min({_KM}) km from k group by 1),
 o as (select p.*, gc, km, case pr when 'Precise' then 0.9 when 'Center' then 0.7 when 'Related-Within' then 0.5 when 'Rough' then 0.4 when 'Unverified' then 0.3 when 'Unlocated' then 0.1 end::double pc from p left join n using (id) where lat is not null and lng is not null)
 select id, coalesce(c, case when km <= 25 then gc end, pc) confidence, case when c is not null then 'kept' when km <= 25 then 'corroborated' when pc is not null then 'precision' else 'unknown' end outcome, round(km, 4) km, case when c is not null then false else km > 25 end disagrees from o""",
     "entity_marks": """with m as (select distinct unnest(verse_refs) o, id, name from person), v as (select * from m where o is not null), h as (select distinct o, person_id, v.name from v join lineage_head l on l.name = v.name)
