@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
+from stemma.util import cut
 
 #: BM25+ (Lv & Zhai 2011): saturation, length, lower bound.
 K1, B, DELTA = 1.2, 0.75, 0.5
@@ -19,15 +20,21 @@ def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, surface>> of a pattern's matches; positions count characters from 0."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     gaps = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), F.lower(x["m"]).alias("surface")))).alias("out"),
-        ),
-    )
-    return F.coalesce(walked["out"], F.array().cast("array<struct<start:int,end:int,surface:string>>"))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("n"), m.alias("m")))
+    block = 128  # positions add up within a block, blocks start at the sum before them: long texts stay cheap
+
+    def walk(z: Column, b: Column) -> Column:
+        start = F.aggregate(F.slice(z, F.lit(1), b * block), F.lit(0), lambda acc, x: acc + x["n"])
+        row = lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lower(m).alias("surface"))
+        return F.aggregate(
+            F.slice(z, b * block + 1, F.lit(block)),
+            F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(row(acc["at"] + x["n"], x["m"]))).alias("out")),
+        )["out"]
+
+    # bound to a variable, so that it is evaluated once
+    placed = F.transform(F.array(pairs), lambda z: F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(z) / block).cast("int") - 1, F.lit(0))), lambda b: walk(z, b))))
+    return F.coalesce(F.get(placed, F.lit(0)), F.array().cast("array<struct<start:int,end:int,surface:string>>"))
 
 
 def concordance(verses: DataFrame, word: str, variants: bool = False, keep: tuple[str, ...] = ("translation_id", "osis_id", "seq")) -> DataFrame:
@@ -66,6 +73,7 @@ def lemma_groups(hits: DataFrame, keep: tuple[str, ...] = ("translation_id", "os
 
     Hits of several translations add up. A match on words of several ids counts for each of them.
     """
+    hits = cut(hits)  # read twice
     surfaces = hits.groupBy("lemma", "surface").agg(F.count("*").alias("n"))
     lists = surfaces.groupBy("lemma").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "surface", "n"))), lambda s: F.concat_ws(" ", s["surface"], s["n"])), ", ").alias("surfaces"))
     counts = hits.groupBy("lemma").agg(F.count("*").alias("hits"), F.countDistinct(*keep).alias("verses"))

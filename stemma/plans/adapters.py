@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.util import keep_first, table
+from stemma.util import cut, keep_first, spread, table
 
 _FIRST = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity")
 
 
 def raw_links(spark: SparkSession, d: str) -> DataFrame:
     """Every line item as a link from its supplier's passage to its customer's: repeated keys included."""
-    li = table(spark, d, "lineitem").select(*_FIRST)
+    li = spread(table(spark, d, "lineitem").select(*_FIRST))
     j = li.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     j = j.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     j = j.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
@@ -27,6 +27,11 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return keep_first(rows, ["id"], [f"o{i}" for i in range(len(_FIRST))]).select("id", "source_verse", "target_verse", "votes")
 
 
+def stored_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links as a table, for queries that read them more than once."""
+    return cut(links(spark, d))
+
+
 LINKS = f"""raw_links as (
   select 'N' || s_nationkey || '.' || l_suppkey || '.' || l_linenumber source_verse, 'N' || c_nationkey || '.' || o_custkey || '.' || l_linenumber target_verse,
     cast(l_quantity as int) votes, {", ".join(f"{c} o{i}" for i, c in enumerate(_FIRST))}
@@ -49,7 +54,7 @@ BOOKS = "books as (select 'N' || n_nationkey book, n_nationkey ord, case when n_
 
 def verses(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage, as verses of the translation that their language names."""
-    doc = table(spark, d, "documents").filter("osis_ref is not null")
+    doc = spread(table(spark, d, "documents").filter("osis_ref is not null"))
     at = lambda i: F.split_part("osis_ref", F.lit("."), F.lit(i))
     return doc.select(F.coalesce("lang", F.lit("und")).alias("translation_id"), at(1).alias("book"), at(2).try_cast("int").alias("chapter"), at(3).try_cast("int").alias("verse"), F.col("osis_ref").alias("osis_id"), "text", F.col("doc_id").alias("seq"), "source", "doc_kind", "written_at")
 

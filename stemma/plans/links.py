@@ -59,7 +59,7 @@ def links_to_book(spark: SparkSession, d: str) -> DataFrame:
 
 def links_for_supplier_verse(spark: SparkSession, d: str) -> DataFrame:
     """Links of one passage in either direction: the passage with the most outgoing links."""
-    rows = A.links(spark, d)
+    rows = A.stored_links(spark, d)
     best = rows.groupBy("source_verse").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_verse").limit(1).select(F.col("source_verse").alias("v"))
     return rows.join(F.broadcast(best), (F.col("source_verse") == F.col("v")) | (F.col("target_verse") == F.col("v"))).drop("v")
 
@@ -96,9 +96,8 @@ def classification_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return X.breakdown(_classified(spark, d)).select("type", "edges", F.round("share", 6).alias("share"), F.round("avg_votes", 6).alias("avg_votes"), "min_votes", "max_votes")
 
 
-def _overlays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _overlays(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Invented overlays: each type for some of the keys."""
-    rows = A.links(spark, d)
     kind = lambda n: F.element_at(F.array(*map(F.lit, X.OVERLAY_PRIORITY)), (n % 4 + 1).cast("int"))
     verse = rows.filter("votes % 17 = 0").select(F.col("source_verse").alias("src"), F.col("target_verse").alias("tgt"), kind(F.col("votes")).alias("type"))
     key = lambda c: F.concat_ws(".", X.book_of(F.col(c)), F.split_part(c, F.lit("."), F.lit(2)))
@@ -107,7 +106,8 @@ def _overlays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def overlay_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return X.with_overlay(A.links(spark, d), *_overlays(spark, d))
+    rows = A.stored_links(spark, d)
+    return X.with_overlay(rows, *_overlays(rows))
 
 
 def overlay_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +120,7 @@ def overlay_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def bfs_two_hops(spark: SparkSession, d: str) -> DataFrame:
     """Passages within two hops of the busiest passage of a book, with their distance."""
-    rows = A.links(spark, d)
+    rows = A.stored_links(spark, d)
     seed = rows.groupBy("source_verse").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_verse").limit(1).select(F.col("source_verse").alias("node"))
     return G.reach(rows.select(F.col("source_verse").alias("a"), F.col("target_verse").alias("b")), seed, 2)
 

@@ -52,14 +52,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has at most half as many partitions as there are cores (one small file); otherwise as it is.
+
+    Large inputs never meet the condition, and so never pay for the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in the given order. Null keys form a group of their own.
 
-    The whole row travels inside a min() over a struct, so map-side partial
-    aggregation absorbs hot keys before the shuffle (a row_number window could not).
+    The planner limits each group on the map side too (a partial WindowGroupLimit), so that
+    of a hot key every task sends one row; the sort spills where it must.
     """
-    first = F.min_by(F.struct(*df.columns), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]))
-    return df.groupBy(*keys).agg(first.alias("__row")).select("__row.*")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def islands(df: DataFrame, partition: Sequence[str], value: str, name: str = "island") -> DataFrame:
