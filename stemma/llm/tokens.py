@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.util import broadcast_if_small, cut, ship
+from stemma.util import broadcast_if_small, cut, ship, spread
 
 #: Where the vocabulary files of public tokenizers lie, on every machine.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -109,7 +109,7 @@ def encode(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", direc
         raise ValueError("overlap must lie between 8 and chunk")
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    texts = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = spread(df).select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = F.length("text")
     short = texts.filter(n <= chunk).mapInArrow(lambda it: _encode(it, name, directory), f"key {kind}, ids array<int>")
 
@@ -167,4 +167,4 @@ def lengths(df: DataFrame, keep: list[str], text: str, name: str = "byte_bpe_50k
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long"
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lambda it: _count(it, name, directory), schema)
+    return spread(df).select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lambda it: _count(it, name, directory), schema)
