@@ -144,3 +144,12 @@ def test_streaming(spark, tmp_path):
     q = ingest.write(ingest.unique_links(ingest.links(spark, str(folder))), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("Gen.1.1", "Gen.1.2", 3)]
+
+
+def test_stages_and_external(spark, tmp_path):
+    out = W.run_stages([("a", lambda t: spark.range(3)), ("b", lambda t: t["a"].filter("id > 0"))], str(tmp_path / "s"), spark)
+    assert out["b"].count() == 2
+    people = spark.createDataFrame([("p", "P"), ("", "Q"), ("r", None)], "person_id string, person_name string")
+    assert [tuple(r) for r in D.external_persons(people).collect()] == [("p", "P")]
+    labels = spark.createDataFrame([("p", None, "Proper Name", "x")], "person_id string, english_label string, label_type string, hebrew_label_meaning string")
+    assert [tuple(r) for r in D.external_labels(labels).collect()] == [("p", "", "Proper Name", "x", "")]

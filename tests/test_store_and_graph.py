@@ -153,3 +153,12 @@ def test_search_ranks(spark):
     assert S.search(index, "id", "the").count() == 0
     scored = S.search(index, "id", "good shepherd", fuzzy=0).join(docs, "id")
     assert S.rerank(scored, "text", "good shepherd").orderBy(F.desc("score")).first()["score"] > 50
+
+
+def test_supplement(spark):
+    rows = spark.createDataFrame([("A", " Father ", "B", 1), ("A", "father", "B", 2), ("A", "friend", "B", 3), ("A", "wife", "Z", 4), ("B", "wife", "A", 5), ("A", "wife", "B", 6), ("A", "father", "A", 7)], "source string, type string, target string, seq long")
+    ids = spark.createDataFrame([("A", "a"), ("B", "b")], "external_id string, id string")
+    got = sorted(map(tuple, N.supplement_links(rows, ids, {"father": "father-of", "wife": "spouse-of"}).collect()))
+    assert got == [("a→father-of→b", "a", "b", "father-of"), ("a→spouse-of→b", "b", "a", "spouse-of")]
+    links = N.without_divine(spark.createDataFrame([("god", "a"), ("a", "b")], "person_from string, person_to string"), ("god",))
+    assert links.count() == 1
