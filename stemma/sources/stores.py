@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.store import upsert
+from stemma.util import cut, ship
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
@@ -17,31 +20,39 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort
     (out.write.mode("overwrite").partitionBy(*partition_by) if partition_by else out.write.mode("overwrite")).parquet(path)
 
 
+#: Parts that one task fills; a table of fewer is cut exactly as one pass over it would.
+_PARTS_PER_TASK = 64
+
+
+def _filled(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
+    """Greedy fill of one sorted partition: a part ends before the row that would exceed the budget."""
+    pid, part, used = TaskContext.get().partitionId(), 0, 0  # type: ignore[union-attr]
+    for b in batches:
+        local = []
+        for size in b["size"]:
+            if used and used + size > budget:
+                part, used = part + 1, 0
+            used += size
+            local.append(part)
+        b["pid"], b["local"] = pid, local
+        yield b[["json", "__o", "pid", "local"]]
+
+
 def parts_of(df: DataFrame, order: str, budget: int, whole: int) -> DataFrame:
-    """df as (json, part): parts of at most ``budget`` bytes filled greedily in order, or one part if all is at most ``whole``.
+    """df as (json, part, __o): parts of at most ``budget`` bytes filled greedily in order, or one part if all is at most ``whole``.
 
-    The greedy fill is an ordered fold with a reset: sizes are summed per block of rows in parallel, a block's start offset is exact,
-    and only the parts' borders depend on each other; a row longer than the budget has a part of its own.
+    A row longer than the budget has a part of its own. Ranges of about 64 parts are filled by a task each, so that a part also ends where a range does.
     """
-    j = df.select(F.to_json(F.struct(*df.columns)).alias("json"), F.col(order).alias("__o")).withColumn("size", F.octet_length("json") + 1)
-    rows = j.groupBy(F.floor(F.col("__o") / 10_000).alias("block")).agg(F.array_sort(F.collect_list(F.struct("__o", "size"))).alias("r")).orderBy("block")
+    ship(df.sparkSession)
+    j = df.select(F.to_json(F.struct(*df.columns)).alias("json"), F.col(order).cast("long").alias("__o")).withColumn("size", F.octet_length("json") + 1)
     total = j.agg(F.sum("size")).first()[0] or 0
     if total <= whole:
         return j.select("json", F.lit(1).alias("part"), "__o")
-    borders, part, used = [], 1, 0
-    for b in rows.toLocalIterator():  # sizes only, one block of 10,000 at a time
-        for o, size in b["r"]:
-            if used and used + size > budget:
-                part, used = part + 1, 0
-                borders.append((o, part))
-            used += size
-    spark = df.sparkSession
-    marks = spark.createDataFrame(borders, "__b long, part int")
-    w = Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
-    if len(borders) <= 10_000:
-        starts = F.array(*[F.lit(b) for b, _ in borders])
-        return j.select("json", (F.size(F.filter(starts, lambda s: s <= F.col("__o"))) + 1).alias("part"), "__o")
-    return j.join(marks, j["__o"] == marks["__b"], "left").select("json", F.coalesce(F.last("part", ignorenulls=True).over(w), F.lit(1)).alias("part"), "__o")
+    ranges = max(1, total // (_PARTS_PER_TASK * budget))
+    rows = cut(j.repartitionByRange(ranges, "__o").sortWithinPartitions("__o").mapInPandas(lambda it: _filled(it, budget), "json string, __o long, pid int, local int"))
+    counts = rows.groupBy("pid").agg((F.max("local") + 1).alias("n"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per task
+    return rows.join(F.broadcast(starts), "pid").select("json", (F.col("start") + F.col("local") + 1).cast("int").alias("part"), "__o")
 
 
 def write_parts(df: DataFrame, path: str, order: str, budget: int = 15 << 20, whole: int = 20 << 20) -> None:

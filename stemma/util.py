@@ -32,6 +32,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_CUTS: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut` wrote, once nothing reads results that stem from them. Returns how many."""
+    n = 0
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it back.
 
@@ -40,6 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -109,6 +109,9 @@ def test_parts(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     sizes = [r["n"] for r in spark.read.text(f"{p}/parts").groupBy("part").agg(F.sum(F.octet_length("value") + 1).alias("n")).collect()]
     assert len(sizes) > 5 and max(sizes) <= 10_000
+    many = W.parts_of(df, "id", 200, 300)
+    assert sorted(r[0] for r in many.select("part").distinct().collect()) == list(range(1, many.agg(F.max("part")).first()[0] + 1))
+    assert many.groupBy("part").agg(F.sum(F.octet_length("json") + 1).alias("n")).filter("n > 200").count() == 0
     W.write_parts(df.limit(3), p, "id")
     assert W.read_parts(spark, p, "id long, t string").count() == 3
     spark.range(1).select(F.lit(7).alias("parts")).write.mode("overwrite").json(f"{p}/manifest")

@@ -162,3 +162,15 @@ def test_supplement(spark):
     assert got == [("a→father-of→b", "a", "b", "father-of"), ("a→spouse-of→b", "b", "a", "spouse-of")]
     links = N.without_divine(spark.createDataFrame([("god", "a"), ("a", "b")], "person_from string, person_to string"), ("god",))
     assert links.count() == 1
+
+
+def test_cut_and_clean(spark):
+    from stemma.util import broadcast_if_small, checkpoint_root, clean, cut, spread
+
+    df = cut(spark.range(5).filter("id > 9"))
+    assert df.count() == 0 and df.columns == ["id"]
+    assert checkpoint_root(spark) == checkpoint_root(spark)
+    assert broadcast_if_small(spark.range(10), 5).count() == 10
+    one = spark.range(0, 100, 1, 1)
+    assert spread(one).rdd.getNumPartitions() > 1 and spread(spark.range(0, 100, 1, 64)).rdd.getNumPartitions() == 64
+    assert clean(spark) > 0 and clean(spark) == 0
