@@ -74,9 +74,9 @@ def _number(c: Column) -> Column:
     return F.regexp_extract(c, r"^\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)", 1).try_cast("double")
 
 
-def places_table(df: DataFrame) -> DataFrame:
+def places_table(df: DataFrame, lat_columns: Sequence[str] = ("latitude", "lat"), lng_columns: Sequence[str] = ("longitude", "lng")) -> DataFrame:
     """id, name, lat, lng, confidence (if it is a number), precision (if it isn't), verse_refs; both coordinates or none."""
-    lat, lng = _number(present(df, "latitude", "openBibleLat", "lat")), _number(present(df, "longitude", "openBibleLong", "lng"))
+    lat, lng = _number(present(df, *lat_columns)), _number(present(df, *lng_columns))
     both = lat.isNotNull() & lng.isNotNull()
     sure, precise = present(df, "confidence"), present(df, "precision")
     return df.select(

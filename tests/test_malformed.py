@@ -56,3 +56,56 @@ def test_cells_and_long_rows(spark):
     assert [r["reason"] for r in rows.collect()] == [None, "columns"]
     c = rows.filter("reason is null").select(M.cells(rows["raw"], M.FEEDS["person_relationship"]).alias("c")).first()["c"]
     assert (c["number"], c["source"], c["note"][:6]) == ("9", "Ana_1", 'x "y" ')
+
+
+def parse(raw):
+    """A strict parser, character by character: the cells, or None for broken quoting."""
+    raw = raw[:-1] if raw.endswith("\r") else raw
+    cells, i = [], 0
+    while True:
+        if raw[i : i + 1] == '"':
+            i, cell = i + 1, ""
+            while True:
+                if i >= len(raw):
+                    return None
+                if raw[i] == '"':
+                    if raw[i + 1 : i + 2] != '"':
+                        break
+                    i += 1
+                cell += raw[i]
+                i += 1
+            i += 1
+            if raw[i : i + 1] not in ("", ","):
+                return None
+        else:
+            end = raw.find(",", i)
+            end = len(raw) if end < 0 else end
+            cell = raw[i:end]
+            if '"' in cell:
+                return None
+            i = end
+        cells.append(cell)
+        if i >= len(raw):
+            return cells
+        i += 1
+
+
+def test_random_rows_against_a_strict_parser(spark):
+    import random
+
+    rng = random.Random(21)
+    parts = ['"', '""', ",", "a_1", "7", "x", " ", "\n", "Ana_2", '"Bo_3"', "1,A.1,Ana_1,son,Bo_2,", "-", "note"]
+    raws = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(1_500)]
+    raws += ["1,A.1,Ana_1,son,Bo_2," + "".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(700)]
+    df = spark.createDataFrame([(i, "person_relationship", r) for i, r in enumerate(raws)], "k int, feed string, raw string")
+    got = {r["k"]: r["reason"] for r in M.split_rows(df, "raw", "feed", M.FEEDS).collect()}
+    for i, raw in enumerate(raws):
+        cells = parse(raw)
+        if cells is None:
+            assert got[i] == "quoting", raw
+        elif len(cells) != 6:
+            assert got[i] == "columns", raw
+        else:
+            assert got[i] in (None, "value"), raw
+            assert (got[i] is None) <= cells[0].strip().isdigit(), raw
+    assert {"quoting", "columns", "value", None} <= set(got.values())

@@ -44,3 +44,32 @@ def test_long_field_and_shuffled_rules(spark):
     rows = unpack(df, "f", rules_limit=0)
     assert rows.count() == 50_000
     assert rows.filter("value <> concat('A.1.', pos + 1)").count() == 0
+
+
+def test_random_fields_come_apart_as_they_were_put_together(spark):
+    import random
+
+    rng = random.Random(12)
+    seps = [",", ", ", ";", "; ", "|", " | ", "//", " / ", " & ", " + ", " · ", " and ", ", and ", "<br>", "\n", "\r\n", "\t", "、", "；", "，", ";\xa0"]
+
+    def value():
+        v = f"{rng.choice(['', '1', '2'])}{rng.choice(['Gan', 'Tor', 'Mik'])}{rng.choice(['.{0}.{1}', ' {0}:{1}', '.{0}.{1}-{1}'])}".format(rng.randint(1, 50), rng.randint(1, 40))
+        if rng.random() < 0.3:
+            v += rng.choice([", 7", ";8", " | alt", ' "or"', " / x", " and y"])
+            return v, '"' + v.replace('"', '""') + '"' if '"' in v or rng.random() < 0.6 else f"“{v}”"
+        return v, v
+
+    rows, want = [], {}
+    for i in range(400):
+        values = [value() for _ in range(rng.randint(1, 12))]
+        two = [rng.choice(seps) for _ in range(2)]
+        text = values[0][1]
+        for _, v in values[1:]:
+            text += rng.choice(two) + (rng.choice(["", "", two[0]])) + v
+        rows.append((i, rng.choice(["", " ", "\t"]) + text + rng.choice(["", "  "])))
+        want[i] = [v for v, _ in values]
+    df = spark.createDataFrame(rows, "k int, f string")
+    got = {}
+    for r in unpack(df, "f", ["k"]).orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert got == want
