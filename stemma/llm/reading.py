@@ -256,7 +256,7 @@ def score(documents: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(documents.dtypes)[key]
-    rows = spread(documents).select(F.struct(F.col(key).alias("key"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s 　]+"), lambda w: w != "")).alias("words")).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(documents).select(F.struct(F.col(key).alias("key"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\u00a0\u2007\u202f\u3000]+"), lambda w: w != "")).alias("words")).alias("key"), F.col(text).cast("string").alias("text"))
     scored = rows.mapInArrow(lambda it: _score(it, shared), f"key struct<key: {kind}, words: int>, score double, english double")
     return scored.select(F.col("key.key").alias(key), "score", "english", F.col("key.words").alias("words"))
 
