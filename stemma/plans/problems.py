@@ -26,8 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def parent_links(relationship: DataFrame) -> DataFrame:
     """child, parent, rank (0 father, 1 mother), seq of the rows that state a parent."""
-    clean = lambda c: F.lower(F.trim(c))
-    kind = F.regexp_replace(clean(F.col("type")), r"[\s_-]+", "-")
+    clean = lambda c: F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    kind = F.regexp_replace(clean(F.col("type")), r"[\s\u00a0_-]+", "-")
     a, b = clean(F.col("person_from")), clean(F.col("person_to"))
     down = kind.isin("father-of", "mother-of")
     return (
