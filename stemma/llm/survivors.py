@@ -20,13 +20,13 @@ PLACEHOLDERS = ("", "?", "-", "—", "...", "n/a", "na", "none", "null", "tbd",
 
 def stated(value: Column) -> Column:
     """The trimmed value, or null if it states nothing."""
-    v = F.regexp_replace(value, r"^[\s ]+|[\s ]+$", "")
+    v = F.regexp_replace(value, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
     return F.when(~F.lower(v).isin(*PLACEHOLDERS), v)
 
 
 def identifier(c: Column) -> Column:
     """A source's id as registries write it: lower case, hyphens."""
-    return F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), r"[\s _-]+", "-")
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), r"[\s\u00a0_-]+", "-")
 
 
 def field_name(c: Column) -> Column:
