@@ -93,5 +93,6 @@ SQL = {
     "p5_found": _SQL_CLAIMS
     + """select entity_id, field, source_id, v "value" from x where ok
 qualify row_number() over (partition by entity_type, entity_id, field order by precedence, at_ desc nulls last, v) = 1""",
+    "p5_layers": _SQL_CLAIMS + "select entity_id, field, 1 as layer, count(distinct (source_id, ok))::int as claims from x group by entity_type, entity_id, field having bool_or(ok)",
     "p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents",
 }
