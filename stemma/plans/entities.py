@@ -361,6 +361,10 @@ u as (select child, coalesce(mo, fa) up from f), w as (select child node, child
 select node, array_to_string(arg_max(path, k), '>') path from w group by 1""",
     "family_names": f"""{_REL}, i as (select person_from id from rel union select person_to from rel), n as (select id, max(name) name from person group by 1)
 select i.id, coalesce(n.name, array_to_string(list_transform(string_split(regexp_replace(i.id, '_\\d+$', ''), '_'), lambda p: upper(p[1]) || p[2:]), ' ')) "name" from i left join n on n.id = i.id""",
+    "tree_root": f"""{_REL}, i as (select person_from id from rel union select person_to from rel), n as (select id, max(name) name from person group by 1),
+nm as (select i.id, lower(coalesce(n.name, array_to_string(list_transform(string_split(regexp_replace(i.id, '_\\d+$', ''), '_'), lambda p: upper(p[1]) || p[2:]), ' '))) low from i left join n on n.id = i.id),
+o as (select low from nm group by 1 order by count(*) desc, 1 limit 1), r as (select id root, id node from nm join o using (low) union select r.root, c from r join kid on kid.p = r.node)
+select root id from r group by 1 order by count(*) desc, 1 limit 1""",
     "quality_empty": f"with {A.VERSES} select t translation_id, 'no verses' \"check\", 'error' severity, t \"where\", null::varchar detail from (values ('en'), ('la'), ('he')) x(t) where t not in (select translation_id from verses)",
     "quality_duplicates": _f("duplicate", "error", "osis_id", "(select translation_id, osis_id, count(*) k from vs group by all having k > 1)", "k - 1"),
     "quality_unknown_books": _f("unknown book", "error", "osis_id", "f1 where book not in (select book from bk)", "book"),
