@@ -56,7 +56,7 @@ def _core(batches: Iterator[pd.DataFrame], paths: bool) -> Iterator[pd.DataFrame
         yield pd.DataFrame([(n, parent[n], size[n], *x) for n, x in done.items()], columns=["node", "parent", "size", "root", "depth", "path", "status"]).astype({"size": "Int64"})
 
 
-def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", nodes: DataFrame | None = None, paths: bool = True, core_nodes: int = 50_000, max_rounds: int = 10_000) -> DataFrame:
+def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", nodes: DataFrame | None = None, paths: bool = True, core_nodes: int = 50_000) -> DataFrame:
     """node, parent, size, root, depth, path, status for every node named in ``parents``.
 
     ``parents`` has at most one parent per node (rows with a null node or parent
@@ -68,37 +68,29 @@ def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", no
     """
     ship(parents.sparkSession)
     links = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent")).filter("node is not null and parent is not null")
+    no_parent, no_size = F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("size")
     # one message per node and one per parent; each round adds them up by node
-    messages = links.select("node", "parent").unionByName(
-        links.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"))
-    )
+    messages = links.unionByName(links.select(F.col("parent").alias("node"), no_parent))
     if nodes is not None:
-        messages = messages.unionByName(nodes.select(F.col(node).alias("node"), F.lit(None).cast("string").alias("parent")).filter("node is not null"))
+        messages = messages.unionByName(nodes.select(F.col(node).alias("node"), no_parent).filter("node is not null"))
     rest = cut(messages.groupBy("node").agg(F.min("parent").alias("parent"), F.lit(1).cast("long").alias("size")))
     peeled: list[DataFrame] = []
-    while rest.limit(core_nodes + 1).count() > core_nodes and len(peeled) < max_rounds:
-        sums = cut(
-            rest.select("node", "parent", "size", F.lit(0).alias("kids"))
-            .unionByName(rest.filter("parent is not null").groupBy("parent").agg(F.count("*").cast("int").alias("kids")).select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("size"), "kids"))
-            .groupBy("node")
-            .agg(F.max("parent").alias("parent"), F.max("size").alias("size"), F.sum("kids").alias("kids"))
-        )
+    while rest.limit(core_nodes + 1).count() > core_nodes:
+        kids = rest.filter("parent is not null").groupBy("parent").agg(F.count("*").cast("int").alias("kids"))
+        told = rest.withColumn("kids", F.lit(0)).unionByName(kids.select(F.col("parent").alias("node"), no_parent, no_size, "kids"))
+        sums = cut(told.groupBy("node").agg(F.max("parent").alias("parent"), F.max("size").alias("size"), F.sum("kids").alias("kids")))
         leaves, inner = sums.filter("kids = 0").drop("kids"), sums.filter("kids > 0").drop("kids")
         if leaves.isEmpty():  # nothing but cycles is left
             break
         peeled.append(leaves)
         sent = leaves.filter("parent is not null").groupBy("parent").agg(F.sum("size").alias("sent"))
-        rest = cut(
-            inner.unionByName(sent.select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("sent").alias("size")))
-            .groupBy("node")
-            .agg(F.max("parent").alias("parent"), F.sum("size").alias("size"))
-        )
+        got = inner.unionByName(sent.select(F.col("parent").alias("node"), no_parent, F.col("sent").alias("size")))
+        rest = cut(got.groupBy("node").agg(F.max("parent").alias("parent"), F.sum("size").alias("size")))
     if rest.limit(core_nodes + 1).count() > core_nodes:
         rows = rest.withColumns({"size": F.lit(None).cast("long"), "root": F.lit(""), "depth": F.lit(-1), "path": F.lit(None).cast("array<string>"), "status": F.lit(ON_CYCLE)})
     else:
         rows = rest.coalesce(1).mapInPandas(lambda it: _core(it, paths), _DONE)
     done = cut(rows)
-    parts = [done]
     for leaves in reversed(peeled):
         up = done.select(F.col("node").alias("parent"), "root", "depth", "path", "status")
         rooted = F.col("status") == ROOTED
@@ -111,8 +103,7 @@ def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", no
             (F.when(F.col("parent").isNull(), F.array("node")).when(rooted, F.concat("path", F.array("node"))) if paths else F.lit(None).cast("array<string>")).alias("path"),
             F.when(F.col("parent").isNull() | rooted, ROOTED).otherwise(BELOW_CYCLE).alias("status"),
         )
-        parts.append(cut(step))
-        done = done.unionByName(parts[-1])
+        done = done.unionByName(cut(step))
     return done
 
 
