@@ -97,11 +97,11 @@ def classification_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlays(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Invented overlays: each type for some of the keys."""
-    kind = lambda n: F.element_at(F.array(*map(F.lit, X.OVERLAY_PRIORITY)), (n % 4 + 1).cast("int"))
-    verse = rows.filter("votes % 17 = 0").select(F.col("source_verse").alias("src"), F.col("target_verse").alias("tgt"), kind(F.col("votes")).alias("type"))
+    """Invented overlays: the links with most votes by verse, some others by chapter, typed by their votes."""
+    kind = lambda n: F.element_at(F.array(*map(F.lit, X.OVERLAY_PRIORITY)), n.cast("int"))
+    verse = rows.filter("votes >= 48").select(F.col("source_verse").alias("src"), F.col("target_verse").alias("tgt"), kind(F.col("votes") - 47).alias("type"))
     key = lambda c: F.concat_ws(".", X.book_of(F.col(c)), F.split_part(c, F.lit("."), F.lit(2)))
-    chapter = rows.filter("votes % 13 = 0").select(key("source_verse").alias("src"), key("target_verse").alias("tgt"), kind(F.col("votes") / 13).alias("type"))
+    chapter = rows.filter("votes between 13 and 16").select(key("source_verse").alias("src"), key("target_verse").alias("tgt"), kind(F.col("votes") - 12).alias("type"))
     return verse, chapter
 
 
@@ -144,8 +144,8 @@ _W = f"with {A.LINKS}, {A.BOOKS}"
 _ADJ = ", adj as (select least(sb, tb) a, greatest(sb, tb) b, count(*) weight from parts where sb <> tb group by all having count(*) >= 5), two as (select a, b, weight from adj union all select b, a, weight from adj), deg as (select a book, count(*) degree, sum(weight)::bigint weight from two group by 1)"
 _BEST = "(select source_verse from links group by 1 order by count(*) desc, 1 limit 1)"
 _KIND = "(['quotation', 'allusion', 'parallel', 'possible_allusion'])"
-_OVER = f""", ov as (select source_verse src, target_verse tgt, votes % 4 k from links where votes % 17 = 0),
-oc as (select sb || '.' || sc src, tb || '.' || tc tgt, (votes // 13) % 4 k from parts where votes % 13 = 0),
+_OVER = f""", ov as (select source_verse src, target_verse tgt, votes - 48 k from links where votes >= 48),
+oc as (select sb || '.' || sc src, tb || '.' || tc tgt, votes - 13 k from parts where votes between 13 and 16),
 bv as (select src, tgt, min(k) k from (select * from ov union all select tgt, src, k from ov) group by all),
 bc as (select src, tgt, min(k) k from (select * from oc union all select tgt, src, k from oc) group by all),
 over as (select p.*, {_KIND}[(case when bc.k is not null and (bv.k is null or bc.k < bv.k) then bc.k else bv.k end) + 1] overlay

@@ -70,7 +70,7 @@ def relationships_for_person(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotations_newest(spark: SparkSession, d: str) -> DataFrame:
-    return store.newest_first(A.annotations(spark, d), "modified", "event_id").select("event_id", "slug", "modified").limit(20)
+    return store.newest_first(A.annotations(spark, d), "modified", "event_id").select("event_id", "slug", "modified")
 
 
 def themes(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ e as (select 'person' kind, id, unnest(verse_refs) o from person union all selec
 select distinct kind, id from e where o in (select osis_id from g)""",
     "mention_bridge": f"with {_MEN} select * from m",
     "relationships_for_person": "select id, person_from, person_to, \"type\", seq from relationship where person_from = 'head_khreibraekhor_2' or person_to = 'head_khreibraekhor_2'",
-    "annotations_newest": f"with {A.ANNOTATIONS} select event_id, slug, modified from ann order by modified desc, event_id limit 20",
+    "annotations_newest": f"with {A.ANNOTATIONS} select event_id, slug, modified from ann order by modified desc, event_id",
     "themes": f'with {A.ANNOTATIONS} select slug, count(*) n, arg_max("label", (modified, -event_id)) "label" from ann group by slug',
     "annotation_overlap": f"with {A.GRID}, {A.ANNOTATIONS} select g.book, chapter, verse, event_id from grid g join ann a on a.book = g.book and (chapter, verse) >= (ch, v) and (chapter, verse) <= (ch_end, v_end)",
     "theme_thread": f"with {A.GRID}, {A.ANNOTATIONS} select event_id, string_agg(verse::varchar, ' ' order by verse) verses from grid g join ann a on a.book = g.book and chapter = ch and verse >= v and (chapter, verse) <= (ch_end, v_end) group by 1",
