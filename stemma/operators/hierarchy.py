@@ -108,10 +108,47 @@ def hierarchy(parents: DataFrame, node: str = "node", parent: str = "parent", no
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """ancestor, node, distance: every node below every other, from the paths. Nodes that hang on cycles have none."""
+    """ancestor, node, distance: every node below every other, from the paths. Nodes that hang on cycles have none; :func:`all_descendants` has these too."""
     return tree.filter("path is not null").select("node", "depth", F.posexplode("path").alias("at", "ancestor")).filter("ancestor <> node").select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """ancestor, node, distance: as :func:`descendants`, and also what is below nodes that hang on cycles or lie on one.
+
+    Nodes below a cycle get a path from the topmost node under it. A node on a cycle has all others on it and everything
+    that hangs on it below it, by the least distance; nobody is below itself.
+    """
+    none = tree.filter("path is null").select("node", "parent", "status")
+    if none.isEmpty():
+        return descendants(tree)
+    none = cut(none)
+    cyclic = none.filter(F.col("status") == ON_CYCLE).select("node", "parent")
+    hanging = none.filter(F.col("status") == BELOW_CYCLE).select("node", "parent")
+    # without the links into the cycle the rest are trees of their own
+    inner = hanging.join(hanging.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
+    under = cut(hierarchy(inner, nodes=hanging.select("node")))
+    around = _around(cyclic)
+    # a hanging node is below its tree's link into the cycle, and below all around that
+    top = under.join(hanging.select(F.col("node").alias("root"), F.col("parent").alias("entry")), "root").select("node", "entry", (F.col("depth") + 1).alias("steps"))
+    entered = top.select(F.col("entry").alias("ancestor"), "node", F.col("steps").alias("distance"))
+    onwards = top.join(around.select(F.col("node").alias("entry"), "ancestor", "distance"), "entry").select("ancestor", "node", (F.col("steps") + F.col("distance")).alias("distance"))
+    return descendants(tree).unionByName(descendants(under)).unionByName(around).unionByName(entered).unionByName(onwards)
+
+
+def _around(cyclic: DataFrame) -> DataFrame:
+    """ancestor, node, distance of all pairs on each cycle (node, parent): the reach doubles each round, until it has gone round the longest cycle."""
+    pairs = cut(cyclic.filter("node <> parent").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance")))
+    reach = 1
+    while True:
+        far = pairs.filter(F.col("distance") == reach).select("node", F.col("ancestor").alias("via"))
+        on = pairs.select(F.col("node").alias("via"), "ancestor", (F.col("distance") + reach).alias("distance"))
+        longer = far.join(on, "via").filter("ancestor <> node").select("ancestor", "node", "distance")
+        new = cut(longer.join(pairs, ["ancestor", "node"], "left_anti").groupBy("ancestor", "node").agg(F.min("distance").alias("distance")))
+        if new.isEmpty():
+            return pairs
+        pairs, reach = pairs.unionByName(new), 2 * reach
+
+
 def preferred_parents(links: DataFrame, child: str, parent: str, rank: str, order: str) -> DataFrame:
     """node, parent: of each child's links the one of least (rank, order), as a map-side min over a struct."""
     return links.filter(F.col(child).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min_by(parent, F.struct(rank, order, parent)).alias("parent"))

@@ -55,6 +55,11 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(person_trees(spark, d, paths=True)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
 
 
+def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_descendants, with all that is below nodes that hang on cycles or lie on them."""
+    return H.all_descendants(person_trees(spark, d, paths=True)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     place = table(spark, d, "place")
     near = spatial.near(place, "id", NEAR_KM).select(F.lit("near").alias("kind"), "id_a", "id_b")
@@ -87,7 +92,7 @@ def p6_strongs(spark: SparkSession, d: str) -> DataFrame:
     return ok.select("record_id", M.cells(F.col("raw"), M.FEEDS["hebrew_strongs"]).alias("c")).select("record_id", F.col("c.number").cast("long").alias("number"), "c.word", "c.gloss")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_paths, p2_descendants, p4_found, p6_found, p6_fields, p6_relationships, p6_strongs)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_paths, p2_descendants, p2_all_descendants, p4_found, p6_found, p6_fields, p6_relationships, p6_strongs)}
 
 _Q = r"""'"(?:[^"]|"")*"|“[^”]*”'"""
 _SQL_TREES = r"""
@@ -135,6 +140,10 @@ select nodes.n person_id, array_to_string(t.path, '>') path, cast(case when cyc.
 from nodes left join t on t.n = nodes.n left join cyc on cyc.n = nodes.n left join sz on sz.n = nodes.n""",
     "p2_descendants": _SQL_TREES
     + "select path[i] ancestor_id, n person_id, depth - i + 1 distance from (select n, path, depth, unnest(range(1, len(path))) i from t) where true",
+    "p2_all_descendants": _SQL_TREES
+    + """, w as (select child n, parent a, 1 k, [child, parent] seen from par where child not in (select n from t) and child <> parent
+  union all select w.n, par.parent, k + 1, list_append(seen, par.parent) from w join par on par.child = w.a where not list_contains(seen, par.parent))
+select path[i] ancestor_id, n person_id, depth - i + 1 distance from (select n, path, depth, unnest(range(1, len(path))) i from t) union all select a, n, k from w""",
     "p4_found": """
 with p as (select distinct id, lat, lng from place where lat between -90 and 90 and lng between -180 and 180 and not (lat = 0 and lng = 0) and not isnan(lat) and not isnan(lng)),
 e as (select territory_id t, ring_no, unnest(range(1, len(ring) + 1)) i, ring from territory),

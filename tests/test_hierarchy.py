@@ -45,6 +45,24 @@ def test_descendants(spark):
     assert sorted(map(tuple, H.descendants(tree).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
 
 
+def test_descendants_on_and_below_cycles(spark):
+    parents = {"b": "a", "c1": "c2", "c2": "c3", "c3": "c1", "d1": "c1", "e1": "d1", "f1": "e1", "f2": "d1", "g": "c3", "s": "s", "t": "s", "u": "t"}
+    parents |= {f"r{i}": f"r{(i + 1) % 11}" for i in range(11)} | {"h": "r4", "i": "h"}
+    want = set()
+    for n in {*parents, *parents.values()}:
+        at, seen, k = n, {n}, 0
+        while (at := parents.get(at)) is not None and at not in seen:
+            seen.add(at)
+            want.add((at, n, k := k + 1))
+    for core in (0, 1_000):
+        got = [tuple(r) for r in H.all_descendants(H.hierarchy(frame(spark, parents), core_nodes=core)).collect()]
+        assert len(got) == len(want)
+        assert set(got) == want
+    assert ("d1", "f1", 2) in want
+    assert ("c2", "f1", 4) in want
+    assert H.all_descendants(H.hierarchy(frame(spark, {"s": "s"}))).count() == 0
+
+
 def test_nulls_ties_and_empty(spark):
     df = spark.createDataFrame([("b", "a"), ("b", "a"), ("b", "z"), (None, "q"), ("q", None)], "node string, parent string")
     rows = {r["node"]: (r["root"], r["depth"]) for r in H.hierarchy(df, paths=False).collect()}
