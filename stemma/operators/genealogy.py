@@ -115,22 +115,32 @@ def below(links: DataFrame, roots: DataFrame, generations: int = 1_000, stride:
     return seen
 
 
-def ancestry(parents_: DataFrame, starts: DataFrame, maternal: bool = False, generations: int = 1_000) -> DataFrame:
-    """node, path (from the furthest ancestor down to the node) of starts (node): each step to the preferred parent, else to the other; it ends before anyone comes twice."""
+def ancestry(parents_: DataFrame, starts: DataFrame, maternal: bool = False) -> DataFrame:
+    """node, path (from the furthest ancestor down to the node) of starts (node): each step to the preferred parent, else to the other; it ends before anyone comes twice.
+
+    Everyone has one step, so that walks double each round: as many rounds as the longest walk's length has binary digits.
+    """
     first, second = ("mother", "father") if maternal else ("father", "mother")
-    up = cut(parents_.select(F.col("child").alias("at"), F.coalesce(first, second).alias("up")))
-    walk = cut(starts.select("node").distinct().withColumns({"at": F.col("node"), "path": F.array("node")}))
+    up = cut(parents_.select(F.col("child").alias("node"), F.coalesce(first, second).alias("up")).filter("node is not null and up is not null"))
+    # path goes upwards here; at is its end while it may go on
+    walks = cut(up.select("node", F.array_distinct(F.array("node", "up")).alias("path"), F.when(F.col("node") != F.col("up"), F.col("up")).alias("at")))
     ended: list[DataFrame] = []
-    for _ in range(generations):
-        step = cut(walk.join(up, "at", "left").withColumn("go", F.col("up").isNotNull() & ~F.array_contains("path", F.coalesce("up", F.lit("")))))
-        ended.append(step.filter("not go").select("node", "path"))
-        walk = step.filter("go").select("node", F.col("up").alias("at"), F.concat(F.array("up"), F.col("path")).alias("path"))
-        if walk.isEmpty():
+    while True:
+        on = walks.select(F.col("node").alias("at"), F.col("path").alias("next"), F.col("at").alias("then"))
+        for e in ended:
+            on = on.unionByName(e.select(F.col("node").alias("at"), F.col("path").alias("next"), F.lit(None).cast("string").alias("then")))
+        longer = F.concat("path", F.slice("next", F.lit(2), F.size("next")))
+        # whoever comes again, comes with all that follows: the distinct ones are the walk up to there
+        step = walks.filter("at is not null").join(on, "at", "left").withColumn("both", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_distinct(longer)))
+        goes = F.col("next").isNotNull() & (F.size("both") == F.size(longer))
+        ended.append(walks.filter("at is null").select("node", "path"))
+        walks = cut(step.select("node", F.col("both").alias("path"), F.when(goes, F.col("then")).alias("at")))
+        if walks.isEmpty():
             break
-    out = ended[0]
+    found = ended[0]
     for e in ended[1:]:
-        out = out.unionByName(e)
-    return out
+        found = found.unionByName(e)
+    return starts.select("node").distinct().join(found, "node", "left").select("node", F.coalesce(F.reverse("path"), F.array("node")).alias("path"))
 
 
 def names(links: DataFrame, persons: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from stemma.operators import entities as E
 from stemma.operators import genealogy as N
 from stemma.operators import quality as Q
 from stemma.plans import adapters as A
-from stemma.util import table
+from stemma.util import cut, table
 
 MALE, FEMALE = ("male", "m"), ("female", "f")
 POLICY = E.MergePolicy(("scribe-ledger", "north-codex", "ember-catalog", "stone-index", "lampstand"), exclusive=(("precision", "lampstand"),))
@@ -214,12 +214,20 @@ def descendant_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ancestry_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The mothers' line of every child of a mother: hundreds of steps at most."""
+    """The mothers' line of every child of a mother; ancestry_lines has everyone's."""
     p = N.parents(_links(spark, d))
     rows = N.ancestry(p, p.filter("mother is not null").select(F.col("child").alias("node")), maternal=True)
     return rows.select("node", F.array_join("path", ">").alias("path"))
 
 
+def ancestry_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The fathers' and the mothers' line of every child of a parent."""
+    p = cut(N.parents(_links(spark, d)))
+    starts = p.select(F.col("child").alias("node"))
+    lines = [N.ancestry(p, starts, m).select("node", F.lit(n).alias("line"), F.array_join("path", ">").alias("path")) for n, m in (("father", False), ("mother", True))]
+    return lines[0].unionByName(lines[1])
+
+
 def family_names(spark: SparkSession, d: str) -> DataFrame:
     return N.names(_links(spark, d), table(spark, d, "person"))
 
@@ -271,7 +279,7 @@ QUERIES = {
     for f in (
         field_merge, conflict_records, conflict_summary, conflict_latest, source_refs, merged_refs, reverse_ids, label_candidates, ambiguous_names, name_resolution, resolution_outcomes, relatives_resolution,
         best_meaning, exact_ids, place_match, place_enrichment, place_corroboration, entity_marks, word_lookup, registry_by_domain, unregistered_sources, family_links, family_stats, family_relatives, first_parents,
-        both_lines, many_fathers, relationship_breakdown, neighbour_sets, family_descendants, descendant_counts, ancestry_paths, family_names, tree_root, quality_empty, versification, versification_diff,
+        both_lines, many_fathers, relationship_breakdown, neighbour_sets, family_descendants, descendant_counts, ancestry_paths, ancestry_lines, family_names, tree_root, quality_empty, versification, versification_diff,
         *map(_check, CHECKS),
     )
 }
@@ -359,6 +367,10 @@ select child, father, mother, coalesce(father, mother) parent, father is not nul
     "ancestry_paths": f"""{_REL}, f as (select person_to child, arg_min(person_from, (seq, person_from)) filter (where "type" = 'father-of') fa, arg_min(person_from, (seq, person_from)) filter (where "type" = 'mother-of') mo from rel where "type" in ('father-of', 'mother-of') group by 1),
 u as (select child, coalesce(mo, fa) up from f), w as (select child node, child hit, [child] path, 0 k from f where mo is not null union all select node, up, list_prepend(up, path), k + 1 from w join u on u.child = w.hit where not list_contains(path, up))
 select node, array_to_string(arg_max(path, k), '>') path from w group by 1""",
+    "ancestry_lines": f"""{_REL}, f as (select person_to child, arg_min(person_from, (seq, person_from)) filter (where "type" = 'father-of') fa, arg_min(person_from, (seq, person_from)) filter (where "type" = 'mother-of') mo from rel where "type" in ('father-of', 'mother-of') group by 1),
+u as (select child, 'father' line, coalesce(fa, mo) up from f union all select child, 'mother', coalesce(mo, fa) from f),
+w as (select child node, line, child hit, [child] path, 0 k from u union all select node, line, up, list_prepend(up, path), k + 1 from w join u using (line) where u.child = w.hit and not list_contains(path, up))
+select node, line, array_to_string(arg_max(path, k), '>') path from w group by 1, 2""",
     "family_names": f"""{_REL}, i as (select person_from id from rel union select person_to from rel), n as (select id, max(name) name from person group by 1)
 select i.id, coalesce(n.name, array_to_string(list_transform(string_split(regexp_replace(i.id, '_\\d+$', ''), '_'), lambda p: upper(p[1]) || p[2:]), ' ')) "name" from i left join n on n.id = i.id""",
     "tree_root": f"""{_REL}, i as (select person_from id from rel union select person_to from rel), n as (select id, max(name) name from person group by 1),
