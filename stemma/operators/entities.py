@@ -113,17 +113,24 @@ def resolve_persons(persons: DataFrame, external: DataFrame, labels: DataFrame)
     return j.withColumn("s", stage).select("id", "name", F.col("s.x").alias("external_id"), F.col("s.stage").alias("stage"), left.alias("candidates"))
 
 
-def resolve_by_relatives(resolved: DataFrame, family: DataFrame, neighbours: DataFrame, max_rounds: int = 50) -> DataFrame:
+def resolve_by_relatives(resolved: DataFrame, family: DataFrame, neighbours: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """resolved (as :func:`resolve_persons`) with the ambiguous ones settled by whose resolved relatives are neighbours of a candidate.
 
-    family: id, relative; neighbours: a, b (external ids, both directions). In each round the candidate with most such relatives wins if it is the only one; of
+    family: id, relative; neighbours: a, b (external ids, both directions). With groups (a, group: external ids and what they belong to) those who
+    share a group are neighbours too, without a table of all pairs; each relative counts once for a candidate. In each round the candidate with most such relatives wins if it is the only one; of
     tied ones only these stay. A round uses what the rounds before resolved, until nothing changes.
     """
     done = cut(resolved)
-    for _ in range(max_rounds):
-        open_ = done.filter("external_id is null and candidates is not null").select("id", "candidates")
-        anchors = family.join(done.filter("external_id is not null").select(F.col("id").alias("relative"), F.col("external_id").alias("b")), "relative").select("id", "b")
-        scores = open_.select("id", F.explode("candidates").alias("a")).join(anchors, "id").join(neighbours.select("a", "b").distinct(), ["a", "b"]).groupBy("id", "a").agg(F.count("*").alias("n"))
+    pairs = cut(neighbours.select("a", "b").distinct()) if neighbours is not None else None
+    members = cut(groups.select("a", "group").filter("a is not null and group is not null").distinct()) if groups is not None else None
+    while True:  # each round but the last settles somebody
+        open_ = done.filter("external_id is null and candidates is not null").select("id", F.explode("candidates").alias("a"))
+        anchors = family.join(done.filter("external_id is not null").select(F.col("id").alias("relative"), F.col("external_id").alias("b")), "relative").select("id", "relative", "b").distinct()
+        met = None if pairs is None else open_.join(anchors, "id").join(pairs, ["a", "b"]).select("id", "a", "relative")
+        if members is not None:
+            near = open_.join(members, "a").join(anchors.join(members.withColumnRenamed("a", "b"), "b"), ["id", "group"]).filter("a <> b").select("id", "a", "relative")
+            met = near if met is None else met.unionByName(near)
+        scores = met.distinct().groupBy("id", "a").agg(F.count("*").alias("n"))
         best = scores.groupBy("id").agg(F.max("n").alias("n")).join(scores, ["id", "n"]).groupBy("id").agg(F.array_sort(F.collect_list("a")).alias("winners"))
         best = cut(best)
         changed = best.filter("size(winners) = 1")

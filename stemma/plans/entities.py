@@ -93,11 +93,9 @@ def relatives_resolution(spark: SparkSession, d: str) -> DataFrame:
     rel = table(spark, d, "relationship").filter("person_from is not null and person_to is not null")
     family = N.neighbours(rel, "person_from", "person_to").select(F.col("a").alias("id"), F.col("b").alias("relative"))
     ext = table(spark, d, "ext_person").select("ext_id", F.explode("verse_refs").alias("v")).filter("v is not null").distinct()
-    # external persons of neighbouring passages count as neighbours
+    # external persons of one chapter count as neighbours
     key = F.concat_ws(".", F.split_part("v", F.lit("."), F.lit(1)), F.split_part("v", F.lit("."), F.lit(2)))
-    by = ext.withColumn("c", key).select("ext_id", "c").distinct().groupBy("c").agg(F.min("ext_id").alias("hub"), F.count("*").alias("n"))
-    spokes = ext.withColumn("c", key).select("ext_id", "c").distinct().join(by, "c").select(F.col("ext_id").alias("a"), F.col("hub").alias("b"))
-    out = E.resolve_by_relatives(_resolved(spark, d), family, N.neighbours(spokes, "a", "b"))
+    out = E.resolve_by_relatives(_resolved(spark, d), family, groups=ext.select(F.col("ext_id").alias("a"), key.alias("group")))
     return out.select("id", "external_id", "stage")
 
 
