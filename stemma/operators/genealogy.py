@@ -93,26 +93,27 @@ def neighbours(rows: DataFrame, a: str, b: str) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def below(links: DataFrame, roots: DataFrame, generations: int = 1_000, stride: int = 8) -> DataFrame:
+def below(links: DataFrame, roots: DataFrame, stride: int = 8) -> DataFrame:
     """root, node, depth of everyone below the roots (node) by father-of and mother-of, each once at the least depth; safe on cycles.
 
-    A round plans ``stride`` generations in one job and is cut off once.
+    A round plans ``stride`` generations in one job and is cut off once; rounds go on until nobody new is found.
     """
     kids = cut(links.filter(F.col("type").isin("father-of", "mother-of")).select(F.col("person_from").alias("node"), F.col("person_to").alias("kid")).distinct())
     kids = broadcast_if_small(kids)
     seen = cut(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(0, generations, stride):
+    depth = 0
+    while True:
         step, found = frontier.select("root", "node"), None
-        for k in range(depth + 1, min(depth + stride, generations) + 1):
+        for k in range(depth + 1, depth + stride + 1):
             step = step.join(kids, "node").select("root", F.col("kid").alias("node")).distinct()
             found = step.withColumn("depth", F.lit(k)) if found is None else found.unionByName(step.withColumn("depth", F.lit(k)))
         new = cut(found.groupBy("root", "node").agg(F.min("depth").alias("depth")).join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         seen = seen.unionByName(new)
-        frontier = new.filter(F.col("depth") == depth + stride)  # whoever is new at the last generation; nearer ones had their turn
+        depth += stride
+        frontier = new.filter(F.col("depth") == depth)  # whoever is new at the last generation; nearer ones had their turn
         if frontier.isEmpty():
-            break
-    return seen
+            return seen
 
 
 def ancestry(parents_: DataFrame, starts: DataFrame, maternal: bool = False) -> DataFrame:

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -29,3 +30,10 @@ def test_lines_of_everyone(spark, maternal):
     got = {r["node"]: r["path"] for r in N.ancestry(df, starts, maternal).collect()}
     assert got == {k: walk(parents, k, maternal) for k in [*parents, "nobody"]}
     assert len(got["v1204"]) == 1_205
+
+
+def test_below_has_no_bound(spark):
+    assert "generations" not in inspect.signature(N.below).parameters
+    links = spark.createDataFrame([(f"v{i}", f"v{i + 1}", "father-of") for i in range(30)] + [("v30", "v0", "mother-of")], "person_from string, person_to string, type string")
+    got = N.below(links, spark.createDataFrame([("v0",)], "node string"), stride=4)
+    assert sorted((r["node"], r["depth"]) for r in got.collect()) == sorted((f"v{i}", i) for i in range(31))
