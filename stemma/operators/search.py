@@ -133,6 +133,37 @@ def search(index: DataFrame, key: str, query: str, prefix: bool = True, fuzzy: f
     return rows.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def field_postings(docs: DataFrame, key: str, by: str = "translation_id", text: str = "text", lemmas: str | None = "lemmas") -> DataFrame:
+    """by, key, field, term, tf, length: as :func:`postings`, of the text and of the lemmas (array, may be null), with the column that tells the indexes apart."""
+    fields = [F.struct(F.lit("text").alias("field"), terms(F.col(text)).alias("terms"))]
+    if lemmas:
+        low = F.filter(F.transform(F.coalesce(lemmas, F.array().cast("array<string>")), lambda x: F.lower(x)), lambda x: (x != "") & ~x.isin(*T.STOP_WORDS))
+        fields.append(F.struct(F.lit("lemmas").alias("field"), low.alias("terms")))
+    rows = docs.select(by, key, F.explode(F.array(*fields)).alias("f")).select(by, key, "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term"))
+    return rows.groupBy(by, key, "field", "term", "length").agg(F.count("*").alias("tf"))
+
+
+def search_each(index: DataFrame, key: str, query: str, by: str = "translation_id", prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
+    """by, key, score by BM25+ over the fields of :func:`field_postings`: each index has its own number of documents, and each of its fields its own document frequencies and mean length. by and field aren't null."""
+    words = [w for w in dict.fromkeys(query.lower().split()) if w not in T.STOP_WORDS]
+    if not words:
+        return index.select(by, key, F.lit(0.0).alias("score")).limit(0)
+    index = cut(index)  # read several times
+    counts = index.groupBy(by).agg(F.countDistinct(key).alias("n"))
+    means = index.groupBy(by, "field", key).agg(F.max("length").alias("length")).groupBy(by, "field").agg(F.avg("length").alias("mean"))
+    df = index.groupBy(by, "field", "term").agg(F.count("*").alias("df"))
+    found = expand(df.select("term").distinct(), words, prefix, fuzzy)
+    rows = index.join(found.select("term", "weight"), "term").join(df, [by, "field", "term"]).join(means, [by, "field"]).join(counts, by)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("weight") * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
+    return rows.groupBy(by, key).agg(F.sum(part).alias("score"))
+
+
+def in_testament(scored: DataFrame, books: DataFrame, testament: str) -> DataFrame:
+    """Of scored rows (book) those whose book (book, testament) is of the testament; before :func:`top`, so that the limit counts these only."""
+    return scored.join(books.filter(F.col("testament") == testament).select("book").distinct(), "book", "left_semi")
+
+
 def rerank(scored: DataFrame, text: str, query: str) -> DataFrame:
     """scored with 50 more where the text has the whole phrase, else 15 more where it has all of several words; only for queries with a blank."""
     phrase = query.strip().lower()

@@ -166,6 +166,27 @@ def phrase_rerank(spark: SparkSession, d: str) -> DataFrame:
     return best.select("seq", "score")
 
 
+def _everywhere(spark: SparkSession, d: str, q: str, fuzzy: float = 0.2) -> DataFrame:
+    """Scores for a query of all documents of all translations; those that are tagged also by lemma."""
+    docs = A.verses(spark, d)
+    tagged = docs.join(_tagged(spark, d).select("seq", "lemmas").dropDuplicates(["seq"]), "seq", "left")
+    return S.search_each(S.field_postings(tagged, "seq"), "seq", q, fuzzy=fuzzy)
+
+
+def fulltext_translations(spark: SparkSession, d: str) -> DataFrame:
+    """As fulltext_bm25 over every translation, each with its own document frequencies."""
+    return _everywhere(spark, d, "shepherd h01196").select("translation_id", "seq", F.round("score", 6).alias("score"))
+
+
+def testament_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best 50 of all translations in the later half of the books."""
+    q = "distant promise"
+    half = A.book_order(spark, d).select("book", F.when(F.col("ord") * 2 < F.count("*").over(Window.partitionBy(F.lit(0))), "OT").otherwise("NT").alias("testament"))
+    scored = _everywhere(spark, d, q, fuzzy=0.0).join(A.verses(spark, d).select("seq", "book", "text"), "seq")
+    best = S.top(S.in_testament(S.rerank(scored, "text", q), half, "NT").withColumn("score", F.round("score", 6)), "seq")
+    return best.select("translation_id", "seq", "book", "score")
+
+
 def fuzzy_vocab(spark: SparkSession, d: str) -> DataFrame:
     vocab = _index(spark, d).select("term").distinct()
     return S.expand(vocab, ["gathered", "river"]).select("word", "term", F.round("weight", 6).alias("weight"))
@@ -230,7 +251,7 @@ QUERIES = {
     for f in (
         chapter_verses, verse_lookup_bridge, book_list, chapter_list, prev_next_chapter, nearest_chapter, entities_for_chapter, mention_bridge, relationships_for_person, annotations_newest, themes,
         annotation_overlap, theme_thread, highlight_colour, contiguous_groups, canonical_order, xref_counts_per_verse, concordance_exact, concordance_variants, hit_totals, strongs_tokens, lemma_groups,
-        lexicon_search, fulltext_bm25, phrase_rerank, fuzzy_vocab, reading_time, year_labels, confidence_bins, name_forms, place_forms, id_names, verse_labels, normalized_refs, event_props, verse_runs, stemmed_words,
+        lexicon_search, fulltext_bm25, phrase_rerank, fulltext_translations, testament_search, fuzzy_vocab, reading_time, year_labels, confidence_bins, name_forms, place_forms, id_names, verse_labels, normalized_refs, event_props, verse_runs, stemmed_words,
     )
 }
 
