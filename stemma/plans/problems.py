@@ -37,27 +37,27 @@ def parent_links(relationship: DataFrame) -> DataFrame:
     )
 
 
-def person_trees(spark: SparkSession, d: str, paths: bool) -> DataFrame:
+def person_trees(spark: SparkSession, d: str, paths: bool) -> H.Forest:
     links = parent_links(table(spark, d, "relationship"))
     parents = H.preferred_parents(links, "child", "parent", "rank", "seq")
-    return H.hierarchy(parents, nodes=links.select(F.col("parent").alias("node")), paths=paths)
+    return H.peel(parents, nodes=links.select(F.col("parent").alias("node")), paths=paths)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return person_trees(spark, d, paths=False).select(F.col("node").alias("person_id"), F.col("root").alias("root_id"), "depth")
+    return H.placed(person_trees(spark, d, paths=False)).select(F.col("node").alias("person_id"), F.col("root").alias("root_id"), "depth")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    return person_trees(spark, d, paths=True).select(F.col("node").alias("person_id"), F.array_join("path", ">").alias("path"), F.col("size").alias("subtree_size"), "status")
+    return H.placed(person_trees(spark, d, paths=True)).select(F.col("node").alias("person_id"), F.array_join("path", ">").alias("path"), F.col("size").alias("subtree_size"), "status")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendants(person_trees(spark, d, paths=True)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
+    return H.descendants(person_trees(spark, d, paths=False)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
 
 
 def p2_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     """As p2_descendants, with all that is below nodes that hang on cycles or lie on them."""
-    return H.all_descendants(person_trees(spark, d, paths=True)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
+    return H.all_descendants(person_trees(spark, d, paths=False)).select(F.col("ancestor").alias("ancestor_id"), F.col("node").alias("person_id"), "distance")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

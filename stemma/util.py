@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast. Beyond it the same join is left to the shuffle.
@@ -22,46 +23,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where the setting is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Only a local session, which is one machine, gets a temporary one where the setting is unset; any other raises."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="stemma-ckpt-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-_CUTS: list[str] = []
+_CUTS: dict[str, list[str]] = {}
 
 
 def clean(spark: SparkSession) -> int:
-    """Delete the tables that :func:`cut` wrote, once nothing reads results that stem from them. Returns how many."""
+    """Delete the tables that :func:`cut` wrote in this application, once nothing reads results that stem from them. Returns how many."""
     n = 0
-    while _CUTS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+    paths = _CUTS.get(spark.sparkContext.applicationId, [])
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+def _clean_at_exit() -> None:
+    """What an application leaves when it ends, so that the shared folder doesn't grow from run to run."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            clean(spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it back.
 
     Cuts the lineage in one job, survives the loss of executors, and gives the
-    planner true sizes. An empty frame keeps its schema.
+    planner true sizes. An empty frame keeps its schema. The table is deleted by :func:`clean`, or when the driver ends.
     """
     spark = df.sparkSession
+    if not _CUTS:
+        atexit.register(_clean_at_exit)
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
-    _CUTS.append(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast only if it has at most ``rows`` rows; otherwise leave the strategy to the planner.
+def cut_counting(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`cut`, with the number of rows that meet each condition, counted while they are written."""
+    seen = Observation()
+    counts = [F.count(F.when(c, 1)).alias(k) for k, c in conditions.items()]
+    written = cut(df.observe(seen, *counts))
+    return written, {k: seen.get[k] for k in conditions}
+
+
+#: Bytes up to which a side may be broadcast by :func:`broadcast_if_small`.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast only if it has at most ``rows`` rows and the planner puts it at no more than ``size`` bytes; otherwise leave the strategy to the planner.
 
-    df should be cheap to count, as after :func:`cut`.
+    df should be cheap to count and its size known, as after :func:`cut` (the files' size).
     """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > size:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
