@@ -17,11 +17,8 @@ NEAR_KM = 5.0
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [
-        packed.unpack(table(spark, d, feed).select("seq", "verses"), "verses", ["seq"], value="verse").select(F.lit(feed).alias("feed"), "seq", "pos", "verse")
-        for feed in ("people", "places", "bible_events")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    feeds = reduce(DataFrame.unionByName, [table(spark, d, t).select(F.lit(t).alias("feed"), "seq", "verses") for t in ("people", "places", "bible_events")])
+    return packed.unpack(feeds, "verses", ["feed", "seq"], value="verse")
 
 
 def parent_links(relationship: DataFrame) -> DataFrame:

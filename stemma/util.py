@@ -88,7 +88,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BR
 
     df should be cheap to count and its size known, as after :func:`cut` (the files' size).
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > size:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > size:
         return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
