@@ -11,7 +11,7 @@ from stemma.util import table
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     source = lambda t, *columns: matching.Source(table(spark, d, t), *columns)
-    person = matching.match(source("person", "id", "name", "verse_refs", None, None, "name_meaning"), source("ext_person", "ext_id", "english_label", "verse_refs", None, None, "meaning"))
+    person = matching.match(source("person", "id", "name", "verse_refs", None, None, "name_meaning", "gender"), source("ext_person", "ext_id", "english_label", "verse_refs", None, None, "meaning", "gender"))
     place = matching.match(source("place", "id", "name", "verse_refs", "lat", "lng"), source("geo_row", "id", "name", "verse_refs", "lat", "lng"))
     return person.withColumn("kind", F.lit("person")).unionByName(place.withColumn("kind", F.lit("place")))
 
@@ -33,7 +33,7 @@ def _survivors(spark: SparkSession, d: str) -> DataFrame:
     known = entities[0].unionByName(entities[1])
     facts = facts.withColumn("listed_field", survivors.field_name(F.col("field"))).join(known, ["entity_type", "entity_id", "source", "listed_field"], "left_semi")
     trust = table(spark, d, "source_registry").select(F.col("domain").alias("entity_type"), F.col("source_id").alias("source"), "precedence")
-    return survivors.choose(facts, ["entity_type", "entity_id", "field"], trust)
+    return survivors.choose(facts, ["entity_type", "entity_id"], "field", trust)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_layers(spark: SparkSession, d: str) -> DataFrame:
-    return _survivors(spark, d).select("entity_id", "field", "layer", "claims")
+    """The dominance layer of each surviving value's record, and the first that states the field."""
+    return _survivors(spark, d).select("entity_id", "field", "layer", "first_layer", "records")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +94,15 @@ SQL = {
     "p5_found": _SQL_CLAIMS
     + """select entity_id, field, source_id, v "value" from x where ok
 qualify row_number() over (partition by entity_type, entity_id, field order by precedence, at_ desc nulls last, v) = 1""",
-    "p5_layers": _SQL_CLAIMS + "select entity_id, field, 1 as layer, count(distinct (source_id, ok))::int as claims from x group by entity_type, entity_id, field having bool_or(ok)",
+    "p5_layers": _SQL_CLAIMS.replace("with k as", "with recursive k as", 1)
+    + """, s as (select entity_type, entity_id, field, source_id, precedence, ok, max(at_) at_ from x group by all),
+rec as (select entity_type, entity_id, source_id, min(precedence) p, coalesce(max(at_), timestamptz '0001-01-01') at_, count(distinct case when ok then field end) n from s group by all),
+dom as (select a.entity_type, a.entity_id, a.source_id hi, b.source_id lo from rec a join rec b using (entity_type, entity_id)
+  where a.p <= b.p and a.at_ >= b.at_ and a.n >= b.n and (a.p < b.p or a.at_ > b.at_ or a.n > b.n)),
+lay as (select entity_type, entity_id, source_id, 1 k from rec union select dom.entity_type, dom.entity_id, lo, k + 1 from lay join dom on dom.entity_type = lay.entity_type and dom.entity_id = lay.entity_id and hi = source_id),
+l1 as (select entity_type, entity_id, source_id, max(k) layer from lay group by all), ly as (select *, count(*) over (partition by entity_type, entity_id) records from l1)
+select x.entity_id, field, layer::int layer, (min(layer) over (partition by x.entity_type, x.entity_id, field))::int first_layer, records::int records
+from x join ly on ly.entity_type = x.entity_type and ly.entity_id = x.entity_id and ly.source_id = x.source_id where ok
+qualify row_number() over (partition by x.entity_type, x.entity_id, field order by precedence, x.at_ desc nulls last, v) = 1""",
     "p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents",
 }

@@ -1,10 +1,14 @@
-"""One surviving value per group and field out of conflicting claims.
-
-Skyline selection: of each group's claims those remain that no other dominates
-in completeness, trust and recency; a lexicographic policy (trust, then recency)
-orders them, and where the first states nothing, the next ones and then the
-further dominance layers fill in. Claims are reduced to the latest per source
-before they are shuffled, so that a group never has more than two per source.
+"""One surviving record per entity, built field by field out of the records that sources have of it.
+
+Skyline selection: a source's record of an entity is as good as its completeness
+(how many fields it states), its trust (the source's precedence) and its recency
+(its latest claim). Records that no other dominates in all three are the first
+layer, those that only the first dominates the second, and so on. A
+lexicographic policy (trust, then recency) orders the values of a layer; fields
+that one layer leaves empty are filled from the next. A later layer overrules an
+earlier one only for a field that a better trusted record there states. Claims are
+reduced to the latest per source before they are shuffled, and an entity never has
+more records than there are registered sources.
 """
 
 from __future__ import annotations
@@ -39,26 +43,23 @@ def _age(at: Column) -> Column:
     return F.coalesce(-F.unix_micros(at), F.lit(1 << 62))
 
 
-def layers(claims: Column) -> Column:
-    """An array of structs (full, trust, at, value, source) with the dominance layer of each, from 1.
+def layers(records: Column) -> Column:
+    """An array of structs (fields, trust, at, source) with the dominance layer of each, from 1.
 
-    A claim is dominated by one that is at least as good in all of completeness, trust (least is best) and recency, and better in one.
+    A record is dominated by one that is at least as good in all of completeness (most fields), trust (least is best) and recency, and better in one.
     """
-    ordered = F.array_sort(F.transform(claims, lambda c: F.struct((~c["full"]).alias("gap"), c["trust"].alias("trust"), _age(c["at"]).alias("age"), c.alias("c"))))
+    ordered = F.array_sort(F.transform(records, lambda r: F.struct((-r["fields"]).alias("gap"), r["trust"].alias("trust"), _age(r["at"]).alias("age"), r["source"].alias("source"))))
 
     def dominated(p: Column, q: Column) -> Column:
         as_good = (q["gap"] <= p["gap"]) & (q["trust"] <= p["trust"]) & (q["age"] <= p["age"])
         return as_good & ((q["gap"] < p["gap"]) | (q["trust"] < p["trust"]) | (q["age"] < p["age"]))
 
     # in this order every dominator comes before what it dominates
-    done = F.aggregate(
+    return F.aggregate(
         ordered,
-        F.array().cast("array<struct<gap:boolean,trust:int,age:bigint,c:struct<full:boolean,trust:int,at:timestamp,value:string,source:string>,layer:int>>"),
-        lambda acc, x: F.concat(
-            acc, F.array(F.struct(x["gap"], x["trust"], x["age"], x["c"], (F.coalesce(F.array_max(F.transform(F.filter(acc, lambda q: dominated(x, q)), lambda q: q["layer"])), F.lit(0)) + 1).alias("layer")))
-        ),
+        F.array().cast("array<struct<gap:bigint,trust:int,age:bigint,source:string,layer:int>>"),
+        lambda acc, x: F.concat(acc, F.array(F.struct(x["gap"], x["trust"], x["age"], x["source"], (F.coalesce(F.array_max(F.transform(F.filter(acc, lambda q: dominated(x, q)), lambda q: q["layer"])), F.lit(0)) + 1).alias("layer")))),
     )
-    return F.transform(done, lambda x: F.struct(x["layer"], x["c"]["full"].alias("full"), x["c"]["trust"].alias("trust"), x["c"]["at"].alias("at"), x["c"]["value"].alias("value"), x["c"]["source"].alias("source")))
 
 
 def newest(claims: DataFrame, group: list[str], source: str, value: str, asserted_at: str) -> DataFrame:
@@ -72,21 +73,26 @@ def newest(claims: DataFrame, group: list[str], source: str, value: str, asserte
     return latest.select(*group, "source", "full", "c.at", "c.value")
 
 
-def choose(facts: DataFrame, group: list[str], trust: DataFrame) -> DataFrame:
-    """group columns, source, value, layer, claims: the surviving value of each group that has a stated one from a trusted source.
+def choose(facts: DataFrame, entity: list[str], field: str, trust: DataFrame) -> DataFrame:
+    """entity columns, field, source, value, layer, first_layer, records: the surviving value of each field that a trusted source states.
 
-    ``facts`` are claims as :func:`newest` gives them. ``trust`` has a row per trusted source: those of the group columns that
-    it depends on, ``source``, ``precedence`` (least is best). Claims of other sources don't count. ``layer`` is the value's
-    dominance layer; ``claims`` counts the (source, stated or not) that took part. Empty tables give no rows.
+    ``facts`` are claims as :func:`newest` gives them for the entity columns and the field. ``trust`` has a row per trusted source: those of the
+    entity columns that it depends on, ``source``, ``precedence`` (least is best). Claims of other sources don't count. ``layer`` is the dominance
+    layer of the value's record, ``first_layer`` the first that states the field, ``records`` how many records the entity has.
+    Of equally trusted values the later stands, then the least in order. Rows with a null entity take no part. Empty tables give no rows.
     """
-    shared = [c for c in trust.columns if c in group]
+    shared = [c for c in trust.columns if c in entity]
     ranks = trust.groupBy(*shared, identifier(F.col("source")).alias("source")).agg(F.min("precedence").cast("int").alias("trust"))
     ranked = facts.join(broadcast_if_small(ranks), [*shared, "source"])
-    points = F.collect_list(F.struct("full", "trust", "at", "value", "source"))
-    by_group = ranked.groupBy(*group).agg(points.alias("points")).withColumn("points", layers(F.col("points")))
-    policy = F.array_sort(F.transform(F.filter("points", lambda p: p["full"]), lambda p: F.struct(p["layer"], p["trust"], _age(p["at"]).alias("age"), p["value"], p["source"])))
-    first = F.get(policy, F.lit(0))
-    return by_group.select(*group, first["source"].alias("source"), first["value"].alias("value"), first["layer"].alias("layer"), F.size("points").alias("claims")).filter("value is not null")
+    by_source = ranked.groupBy(*entity, "source").agg(F.countDistinct(F.when(F.col("full"), F.col(field))).alias("fields"), F.max("at").alias("at"), F.min("trust").alias("trust"))
+    points = by_source.groupBy(*entity).agg(F.collect_list(F.struct("fields", "trust", "at", "source")).alias("p"))  # at most one for each registered source
+    placed = points.select(*entity, F.size("p").alias("records"), F.explode(layers(F.col("p"))).alias("r")).select(*entity, "records", F.col("r.source").alias("source"), F.col("r.layer").alias("layer"))
+    stated_ = ranked.filter("full").join(placed, [*entity, "source"])
+    policy = F.struct("trust", _age(F.col("at")).alias("age"), "value", "source")
+    # the best of each layer by the policy, then from layer to layer
+    by_layer = stated_.groupBy(*entity, field, "layer").agg(F.min(policy).alias("best"), F.max("records").alias("records"))
+    filled = by_layer.groupBy(*entity, field).agg(F.min(F.struct("best", "layer")).alias("b"), F.min("layer").alias("first_layer"), F.max("records").alias("records"))
+    return filled.select(*entity, field, F.col("b.best.source").alias("source"), F.col("b.best.value").alias("value"), F.col("b.layer").alias("layer"), "first_layer", "records")
 
 
 def listed(entities: DataFrame, key: str, sources: str) -> DataFrame:
