@@ -65,16 +65,25 @@ def without_links(c: Column) -> Column:
 
 
 def remove_elements(xml: Column, *tags: str) -> Column:
-    """Without the elements and their content; elements of one name may nest 8 deep, a self-closing one stays, one that is never closed takes the rest with it."""
+    """Without the elements and their content, however deep they nest; a self-closing one stays, one that is never closed takes the rest with it, a closing tag without an opening one goes."""
     for tag in tags:
-        open_, close = rf"<{tag}(?=[\s>])(?:[^>/]|/(?!>))*>", rf"</{tag}\s*>"
-        inner = rf"(?s){open_}(?:(?!<{tag}[\s>])(?!{close}).)*+{close}"
-        for _ in range(8):
-            xml = F.regexp_replace(xml, inner, "")
-        xml = F.regexp_replace(xml, rf"(?s){open_}.*$", "")
+        xml = _without_element(xml, tag)
     return xml
 
 
+def _without_element(xml: Column, tag: str) -> Column:
+    """The text is cut at the tags; a count of open elements tells which pieces are outside."""
+    opens, closes = rf"<{tag}(?=[\s>])(?:[^>/]|/(?!>))*>", rf"</{tag}\s*>"
+    pieces = F.split(xml, f"(?={opens}|{closes})", -1)  # every piece but the first begins with its tag
+
+    def keep(acc: Column, x: Column) -> Column:
+        depth = F.when(x.rlike(f"^{closes}"), F.greatest(acc["depth"] - 1, F.lit(0))).when(x.rlike(f"^{opens}"), acc["depth"] + 1).otherwise(acc["depth"])
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(acc["kept"], F.array(F.regexp_replace(x, f"^(?:{opens}|{closes})", "")))).otherwise(acc["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.when(xml.rlike(f"{opens}|{closes}"), F.array_join(F.aggregate(pieces, start, keep)["kept"], "")).otherwise(xml)
+
+
 def decode_entities(c: Column) -> Column:
     """The five entities, '&amp;' first: '&amp;lt;' becomes '<'."""
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
@@ -244,7 +253,7 @@ def mixed(hex_colour: Column, to: int, amount: float) -> Column:
 
 
 def seeded_random(seed: int):
-    """Function that gives the next number in [0, 1): a 32-bit multiplicative generator, equal on every machine."""
+    """Function that gives the next number in [0, 1): the public-domain generator mulberry32, whose numbers must be the same on every machine."""
     state = seed & 0xFFFFFFFF
 
     def draw() -> float:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BAD = r"\p{Cc}�"
+#: Blanks as in other text: Java's, and the no-break space; within a line, and anywhere.
+_INLINE, _BLANK = r"[ \t\x0b\f\u00a0]", r"[\s\u00a0]"
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Field:
 
     @property
     def cell(self) -> str:
-        return rf"(?:[^\S\r\n]*+{self.plain}[^\S\r\n]*+|\"\s*+{self.quoted}\s*+\")"
+        return rf"(?:{_INLINE}*+{self.plain}{_INLINE}*+|\"{_BLANK}*+{self.quoted}{_BLANK}*+\")"
 
 
 def number(name: str) -> Field:
@@ -47,7 +49,7 @@ def free(name: str) -> Field:
 
 def filled(name: str) -> Field:
     """As free text, but not blank."""
-    return Field(name, rf"(?=[^\",]*[^\s\",])[^\",{_BAD}]*", rf"(?=[^\s\"]|\"\")(?:[^\"{_BAD}]++|\"\"|\r?\n)*+")
+    return Field(name, rf"(?=[^\",]*[^\s\u00a0\",])[^\",{_BAD}]*", rf"(?=[^\s\u00a0\"]|\"\")(?:[^\"{_BAD}]++|\"\"|\r?\n)*+")
 
 
 def senses(name: str) -> Field:
@@ -109,9 +111,9 @@ def cells(raw: Column, schema: Schema) -> Column:
     groups = r"\A" + ",".join(f"({f.cell})" for f in schema.fields) + r"\r?\z"
 
     def value(k: int) -> Column:
-        c = F.regexp_replace(F.regexp_extract(raw, groups, k + 1), r"\A\s++|\s++\z", "")
+        c = F.regexp_replace(F.regexp_extract(raw, groups, k + 1), rf"\A{_BLANK}++|{_BLANK}++\z", "")
         c = F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-        c = F.regexp_replace(c, r"\A\s++|\s++\z", "")
+        c = F.regexp_replace(c, rf"\A{_BLANK}++|{_BLANK}++\z", "")
         return F.when(c != "", c).alias(schema.fields[k].name)
 
     return F.struct(*[value(k) for k in range(len(schema.fields))])

@@ -3,9 +3,11 @@
 Near: points become cells of a cube grid around the unit sphere, so that neither
 the poles nor the antimeridian are special. Each point is sent to the few cells
 that its search box touches and meets the owners of these cells; a hot cell is
-salted. Within: a polygon is covered by quadtree cells, as coarse as possible
-inside and fine along its border; interior cells accept by equi-join alone,
-only points in border cells are tested against the edges at their latitude.
+salted. Within: each ring is covered by cells of one world-wide quadtree, as coarse
+as possible inside, and along its border as fine as a number of cells allows, so
+that a small region gets small cells. Interior cells accept by equi-join alone. A
+border cell knows whether its corner lies inside, and carries the few edges that
+touch it: a point in it is tested by the edges between it and that corner.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +46,7 @@ def near(df: DataFrame, key: str, km: float, lat: str = "lat", lng: str = "lng",
     if not 0 < km < 1000:
         raise ValueError("km must lie between 0 and 1000")
     reach = 2 * math.sin(km / 2 / RADIUS_KM) * (1 + 1e-9) + 1e-12  # as a chord of the unit sphere
-    side = 2 * reach
+    side = 6 * reach  # of such cells a search box touches few
     p = cut(located(df, key, lat, lng))
     x, y, z = F.cos(F.radians("lat")) * F.cos(F.radians("lng")), F.cos(F.radians("lat")) * F.sin(F.radians("lng")), F.sin(F.radians("lat"))
     p = p.withColumns({"x": x, "y": y, "z": z})
@@ -68,87 +71,101 @@ def near(df: DataFrame, key: str, km: float, lat: str = "lat", lng: str = "lng",
     return pairs.filter(F.col("km") <= km).groupBy("id_a", "id_b").agg(F.min("km").alias("km"))
 
 
-def _crosses(x1: float, y1: float, x2: float, y2: float, box: tuple[float, float, float, float]) -> bool:
-    """Whether a segment touches a closed rectangle (clipping by its sides)."""
-    x0, y0, x3, y3 = box
-    t0, t1 = 0.0, 1.0
-    dx, dy = x2 - x1, y2 - y1
-    for p, q in ((-dx, x1 - x0), (dx, x3 - x1), (-dy, y1 - y0), (dy, y3 - y1)):
-        if p == 0:
-            if q < 0:
-                return False
-        elif p < 0:
-            t0 = max(t0, q / p)
-        else:
-            t1 = min(t1, q / p)
-        if t0 > t1:
-            return False
-    return True
-
-
-def _inside(x: float, y: float, edges: list[tuple[float, float, float, float]]) -> bool:
-    odd = False
-    for x1, y1, x2, y2 in edges:
-        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-            odd = not odd
-    return odd
-
-
-def _cover(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
-    """Quadtree cells of each ring; a border cell has the edges that a ray to the east can meet from within it."""
+#: Cells along a ring's border from which it isn't refined further, and the finest level (about 2 m).
+BORDER_CELLS, FINEST = 400, 24
+#: Cells overlap by this many degrees, so that no point falls between them and corners keep off round coordinates.
+_PAD = 1.2345e-9
+
+
+def _touching(e: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Which segments (x1, y1, x2, y2) touch a closed rectangle, by clipping at its sides."""
+    x1, y1, dx, dy = e[:, 0], e[:, 1], e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+    lo, hi, ok = np.zeros(len(e)), np.ones(len(e)), np.ones(len(e), dtype=bool)
+    for p, q in ((-dx, x1 - box[0]), (dx, box[2] - x1), (-dy, y1 - box[1]), (dy, box[3] - y1)):
+        flat = p == 0
+        ok &= ~flat | (q >= 0)
+        t = q / np.where(flat, 1.0, p)
+        lo = np.where(p < 0, np.maximum(lo, t), lo)
+        hi = np.where(p > 0, np.minimum(hi, t), hi)
+    return ok & (lo <= hi)
+
+
+def _flips(e: np.ndarray, x: float, y: float, cx: float, cy: float) -> bool:
+    """Whether a point and a corner to its north-east lie on different sides of the ring: the edges met going east to the corner's longitude, then north."""
+    x1, y1, x2, y2 = e.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        east = (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        north = (y2 - y1) * (cx - x1) / (x2 - x1) + y1
+    met = np.count_nonzero(((y1 > y) != (y2 > y)) & (x < east) & (east < cx)) + np.count_nonzero(((x1 > cx) != (x2 > cx)) & (north > y) & (north < cy))
+    return met % 2 == 1
+
+
+def _ring_cells(edges: np.ndarray, border_cells: int, finest: int) -> Iterator[tuple]:
+    """level, i, j, inner, corner inside, edges of the cells of one ring."""
+    level, border = 0, [(0, 0, False, edges)]  # the world's corner is outside
+    while border:
+        if level == finest or 2 * len(border) > border_cells:
+            yield from ((level, i, j, False, inside, e.tolist()) for i, j, inside, e in border)
+            return
+        level += 1
+        w, h = 360.0 / 2**level, 180.0 / 2**level
+        deeper = []
+        for i0, j0, corner, e in border:
+            cx0, cy0 = -180 + (i0 + 1) * 2 * w + _PAD, -90 + (j0 + 1) * 2 * h + _PAD
+            for i, j in ((2 * i0 + a, 2 * j0 + b) for a in (0, 1) for b in (0, 1)):
+                cx, cy = -180 + (i + 1) * w + _PAD, -90 + (j + 1) * h + _PAD
+                inside = corner != _flips(e, cx, cy, cx0, cy0)
+                near = e[_touching(e, (cx - w - 3 * _PAD, cy - h - 3 * _PAD, cx + _PAD, cy + _PAD))]
+                if len(near):
+                    deeper.append((i, j, inside, near))
+                elif inside:
+                    yield level, i, j, True, True, []
+        border = deeper
+
+
+def _cover(batches: Iterator[pd.DataFrame], border_cells: int, finest: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
         for region, ring in zip(batch["region"], batch["ring"], strict=True):
-            if ring is None:
+            pts = [(float(q["lng"]), float(q["lat"])) for q in ([] if ring is None else ring) if q is not None and q["lng"] is not None and q["lat"] is not None]
+            edges = np.array([(*p, *q) for p, q in zip(pts, [*pts[1:], *pts[:1]], strict=True) if p != q])
+            if len(pts) < 3 or not len(edges):
                 continue
-            pts = [(float(q["lng"]), float(q["lat"])) for q in ring if q is not None and q["lng"] is not None and q["lat"] is not None]
-            if len(pts) < 3:
-                continue
-            edges = [(*p, *q) for p, q in zip(pts, [*pts[1:], pts[0]], strict=True) if p != q]
-            stack = [(0, 0, 0, edges)]
-            while stack:
-                level, i, j, near_edges = stack.pop()
-                w, h = 360.0 / 2**level, 180.0 / 2**level
-                pad = 1e-9
-                box = (-180 + i * w - pad, -90 + j * h - pad, -180 + (i + 1) * w + pad, -90 + (j + 1) * h + pad)
-                hit = [e for e in near_edges if _crosses(*e, box)]
-                if not hit:
-                    if _inside((box[0] + box[2]) / 2, (box[1] + box[3]) / 2, edges):
-                        out.append((region, level, i, j, True, []))
-                elif level < depth:
-                    stack += [(level + 1, 2 * i + a, 2 * j + b, hit) for a in (0, 1) for b in (0, 1)]
-                else:
-                    ray = [list(e) for e in edges if max(e[0], e[2]) >= box[0] and min(e[1], e[3]) <= box[3] and max(e[1], e[3]) >= box[1]]
-                    out.append((region, level, i, j, False, ray))
-        if out:
-            yield pd.DataFrame(out, columns=["region", "level", "i", "j", "inner", "edges"])
-
-
-def coverage(regions: DataFrame, key: str, ring: str, depth: int = 9) -> DataFrame:
-    """region, level, i, j, inner, edges: the cells of each ring (array of structs with lng and lat, closed or not)."""
+            out = [(region, *c) for c in _ring_cells(edges, border_cells, finest)]
+            if out:
+                yield pd.DataFrame(out, columns=["region", "level", "i", "j", "inner", "corner", "edges"])
+
+
+def coverage(regions: DataFrame, key: str, ring: str, border_cells: int = BORDER_CELLS, finest: int = FINEST) -> DataFrame:
+    """region, level, i, j, inner, corner, edges: the cells of each ring (array of structs with lng and lat, closed or not).
+
+    A ring is refined, level by level, while that leaves at most about ``border_cells`` cells along its border.
+    """
     ship(regions.sparkSession)
     rings = regions.select(F.col(key).alias("region"), F.col(ring).alias("ring")).filter("region is not null and ring is not null")
-    return rings.mapInPandas(lambda it: _cover(it, depth), f"region {dict(rings.dtypes)['region']}, level int, i int, j int, inner boolean, edges array<array<double>>")
+    return rings.mapInPandas(lambda it: _cover(it, border_cells, finest), f"region {dict(rings.dtypes)['region']}, level int, i int, j int, inner boolean, corner boolean, edges array<array<double>>")
 
 
-def within(df: DataFrame, key: str, regions: DataFrame, region_key: str, ring: str, lat: str = "lat", lng: str = "lng", depth: int = 9) -> DataFrame:
+def within(df: DataFrame, key: str, regions: DataFrame, region_key: str, ring: str, lat: str = "lat", lng: str = "lng", border_cells: int = BORDER_CELLS, finest: int = FINEST) -> DataFrame:
     """id, region: each id with a location in any ring of a region, once. Edges are straight in lng/lat.
 
     Rings with fewer than three points cover nothing; a point exactly on an edge
     belongs to the side that a ray to the east decides.
     """
-    cells = cut(coverage(regions, region_key, ring, depth))
-    levels = F.broadcast(cells.select(F.col("level").alias("cell_level")).distinct())  # at most depth + 1 rows
-    p = located(df, key, lat, lng).join(levels)
-    n = F.pow(F.lit(2.0), F.col("cell_level"))
+    cells = cut(coverage(regions, region_key, ring, border_cells, finest))
+    levels = [r[0] for r in cells.select("level").distinct().orderBy("level").collect()]  # at most finest + 1
+    p = located(df, key, lat, lng).withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    n = F.pow(F.lit(2.0), F.col("level"))
     at = lambda c, low, span: F.least(F.floor((F.col(c) - low) / span * n), n - 1).cast("int")
-    p = p.withColumns({"i": at("lng", -180, 360), "j": at("lat", -90, 180)}).withColumnRenamed("cell_level", "level")
-    hits = p.join(broadcast_if_small(cells), ["level", "i", "j"])
+    hits = p.withColumns({"i": at("lng", -180, 360), "j": at("lat", -90, 180)}).join(broadcast_if_small(cells), ["level", "i", "j"])
+    corner = lambda c, low, span: low + (F.col(c) + 1) * (span / n) + _PAD
+    hits = hits.withColumns({"cx": corner("i", -180, 360), "cy": corner("j", -90, 180)})
 
-    def crossing(e: Column) -> Column:
+    def met(e: Column) -> Column:
         x1, y1, x2, y2 = (F.get(e, F.lit(k)) for k in range(4))
-        meets = (y1 > F.col("lat")) != (y2 > F.col("lat"))
-        return F.when(meets, F.when(F.col("lng") < (x2 - x1) * (F.col("lat") - y1) / (y2 - y1) + x1, 1).otherwise(0)).otherwise(0)
+        x, y = F.col("lng"), F.col("lat")
+        east = F.when((y1 > y) != (y2 > y), (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        north = F.when((x1 > F.col("cx")) != (x2 > F.col("cx")), (y2 - y1) * (F.col("cx") - x1) / (x2 - x1) + y1)
+        return F.when((x < east) & (east < F.col("cx")), 1).otherwise(0) + F.when((north > y) & (north < F.col("cy")), 1).otherwise(0)
 
-    odd = F.aggregate("edges", F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+    odd = F.aggregate("edges", F.col("corner").cast("int"), lambda acc, e: acc + met(e)) % 2 == 1
     return hits.filter(F.col("inner") | odd).select("id", "region").distinct()

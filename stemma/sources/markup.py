@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
@@ -20,7 +20,7 @@ from stemma.util import ship
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 _TOKEN = re.compile(r"<[^>]*>|&(?:amp|lt|gt|quot|apos);|[^<&]|&|<")
 _IDS = re.compile(r"\b(?:lemma|s)=\"([^\"]*)\"")
-VERSE = "translation_id string, book string, chapter int, verse int, verse_end int, osis_id string, text string, lemmas array<string>, align string, wj string, seq long"
+VERSE = "file string, translation_id string, book string, chapter int, verse int, verse_end int, osis_id string, text string, lemmas array<string>, align string, wj string, seq long"
 
 
 def _clean(ids: str, strip: bool) -> list[str]:
@@ -95,7 +95,7 @@ def _walked(batches: Iterator[pd.DataFrame], inline: tuple[str, ...], strip_zero
             rows.append((json.dumps(align, ensure_ascii=False) if align and same else None, json.dumps(wj) if wj and same else None))
         b = b.drop(columns=["xml"])
         b["align"], b["wj"] = [r[0] for r in rows], [r[1] for r in rows]
-        yield b[["translation_id", "book", "chapter", "verse", "verse_end", "osis_id", "text", "lemmas", "align", "wj", "seq"]]
+        yield b[["file", "translation_id", "book", "chapter", "verse", "verse_end", "osis_id", "text", "lemmas", "align", "wj", "seq"]]
 
 
 def _aligned(verses: DataFrame, inline: tuple[str, ...], strip_zeros: bool) -> DataFrame:
@@ -108,10 +108,10 @@ def milestones(files: DataFrame, translation: str, value: str = "value") -> Data
 
     Attributes in any order; ids of three parts; verses without text are dropped.
     """
-    parts = files.select(F.posexplode(F.split(value, r"(?=<verse\b[^>]*\bsID=)")).alias("i", "s"))
+    parts = files.select(_file(files), F.posexplode(F.split(value, r"(?=<verse\b[^>]*\bsID=)")).alias("i", "s"))
     start = r"(?s)^<verse\b([^>]*)>"
     tag = F.regexp_extract("s", start, 1)
-    rows = parts.select("i", "s", F.regexp_extract(tag, r"\bosisID=\"([^\"]*)\"", 1).alias("osis_id"), F.regexp_extract(tag, r"\bsID=\"([^\"]*)\"", 1).alias("sid"))
+    rows = parts.select("file", "i", "s", F.regexp_extract(tag, r"\bosisID=\"([^\"]*)\"", 1).alias("osis_id"), F.regexp_extract(tag, r"\bsID=\"([^\"]*)\"", 1).alias("sid"))
     pieces = F.split("s", r"(?=<verse\b[^>]*\beID=)")
     body = F.regexp_replace(F.get(pieces, F.lit(0)), start, "")
     end = F.regexp_extract(F.get(pieces, F.lit(1)), r"^<verse\b[^>]*\beID=\"([^\"]*)\"", 1)
@@ -119,9 +119,14 @@ def milestones(files: DataFrame, translation: str, value: str = "value") -> Data
     bare = F.regexp_replace("osis_id", r"\.0+(?=\d)", ".")
     at = lambda k: F.split_part(bare, F.lit("."), F.lit(k))
     verses = rows.filter(F.size(F.split("osis_id", r"\.")) == 3).select(
-        F.lit(translation).alias("translation_id"), at(1).alias("book"), at(2).try_cast("int").alias("chapter"), at(3).try_cast("int").alias("verse"), F.lit(None).cast("int").alias("verse_end"), bare.alias("osis_id"), T.osis_text(F.col("xml")).alias("text"), T.lemmas(F.col("xml")).alias("lemmas"), F.col("i").cast("long").alias("seq"), "xml",
+        "file", F.lit(translation).alias("translation_id"), at(1).alias("book"), at(2).try_cast("int").alias("chapter"), at(3).try_cast("int").alias("verse"), F.lit(None).cast("int").alias("verse_end"), bare.alias("osis_id"), T.osis_text(F.col("xml")).alias("text"), T.lemmas(F.col("xml")).alias("lemmas"), F.col("i").cast("long").alias("seq"), "xml",
     )
-    return _aligned(verses.filter("text <> '' and chapter is not null and verse is not null"), ("w", "transChange", "divineName", "seg", "q"), True)
+    return _aligned(verses.filter("text <> '' and chapter is not null and verse is not null"), ("w", "transChange", "divineName", "seg", "q"), True).drop("file")
+
+
+def _file(files: DataFrame) -> Column:
+    """What tells files apart: their path, else their place in the table; equal files are two."""
+    return (F.col("path") if "path" in files.columns else F.monotonically_increasing_id().cast("string")).alias("file")
 
 
 def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: str = "value") -> DataFrame:
@@ -131,7 +136,7 @@ def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: s
     one key that follow each other ('3a', '3b') are put together.
     """
     token = r"(?=<(?:book|c|v|ve)\b)"
-    t = files.withColumn("file", F.xxhash64(value)).select("file", F.posexplode(F.split(value, token)).alias("i", "s"))
+    t = files.select(_file(files), F.posexplode(F.split(value, token)).alias("i", "s"))
     kind = F.regexp_extract("s", r"^<(book|c|ve|v)\b", 1)
     ident = F.regexp_extract("s", r"^<\w+\b[^>]*?\bid=\"([^\"]*)\"", 1)
     w = Window.partitionBy("file").orderBy("i")
@@ -146,7 +151,7 @@ def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: s
     v = v.withColumns({"verse": number, "verse_end": F.when(end > number, end), "xml": T.remove_elements(F.regexp_replace("s", r"^<v\b[^>]*>", ""), "f", "x", "note")})
     v = v.filter("book is not null and chapter is not null and verse is not null")
     verses = v.select(
-        F.lit(translation).alias("translation_id"), "book", "chapter", "verse", "verse_end", F.concat_ws(".", "book", "chapter", "verse").alias("osis_id"), T.plain_text(F.col("xml"), ("w", "wj")).alias("text"), T.lemmas(F.col("xml"), ("lemma", "s"), False).alias("lemmas"), F.col("i").cast("long").alias("seq"), "xml",
+        "file", F.lit(translation).alias("translation_id"), "book", "chapter", "verse", "verse_end", F.concat_ws(".", "book", "chapter", "verse").alias("osis_id"), T.plain_text(F.col("xml"), ("w", "wj")).alias("text"), T.lemmas(F.col("xml"), ("lemma", "s"), False).alias("lemmas"), F.col("i").cast("long").alias("seq"), "xml",
     )
     return merge_segments(_aligned(verses.filter("text <> ''"), ("w", "wj"), False))
 
@@ -154,14 +159,14 @@ def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: s
 def merge_segments(verses: DataFrame) -> DataFrame:
     """Records of one key that follow each other as one: texts joined by a blank, ids united, positions moved, the furthest end.
 
-    Runs are islands of equal keys in the order of seq within a book.
+    Runs are islands of equal keys in the order of seq within a book of a file (column ``file``, which isn't kept).
     """
-    w = Window.partitionBy("translation_id", "book").orderBy("seq")
+    w = Window.partitionBy("file", "translation_id", "book").orderBy("seq")
     run = verses.withColumn("new", F.coalesce((F.col("osis_id") != F.lag("osis_id").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = "array<struct<start:int,end:int,ids:array<string>>>"
     ranges = "array<struct<start:int,end:int>>"
     parts = F.array_sort(F.collect_list(F.struct("seq", "text", "lemmas", T.spans(F.col("align")).alias("align"), T.ranges(F.col("wj")).alias("wj"), "verse_end")))
-    g = run.groupBy("translation_id", "book", "chapter", "verse", "osis_id", "run").agg(parts.alias("p"), F.min("seq").alias("first"))
+    g = run.groupBy("file", "translation_id", "book", "chapter", "verse", "osis_id", "run").agg(parts.alias("p"), F.min("seq").alias("first"))
     zero = F.struct(F.lit("").alias("text"), F.array().cast(spans).alias("align"), F.array().cast(ranges).alias("wj"))
 
     def add(acc, x):
@@ -186,5 +191,5 @@ def passage_groups(files: DataFrame, codes: dict[str, str], value: str = "value"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; an edition is best kept as one file per book, so that books are read in parallel."""
-    return spark.read.text(path, wholetext=True)
+    """value, path of each file; an edition is best kept as one file per book, so that books are read in parallel."""
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))

@@ -63,12 +63,18 @@ def cut(df: DataFrame) -> DataFrame:
     planner true sizes. An empty frame keeps its schema. The table is deleted by :func:`clean`, or when the driver ends.
     """
     spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder for files of any kind; deleted as cut tables are."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if not _CUTS:
         atexit.register(_clean_at_exit)
-    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def cut_counting(df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:

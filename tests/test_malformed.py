@@ -19,6 +19,8 @@ PERSON = [
     ("12,A.1,Ana_1,son,Bo_0,note", "value", "target"),
     ("12,A.1,Ana_1,son,Bo_2,a\x0bb", "value", "note"),
     ("12,A.1,Ana_1,son,Bo_2,a�b", "value", "note"),
+    ("\u00a012\u00a0,A.1,\u00a0Ana_1,son,\"\u00a0Bo_2 \u00a0\",note", None, None),
+    ("\u00a0,A.1,Ana_1,son,Bo_2,note", "value", "number"),
     ("", "columns", "number"),
     (None, "columns", "number"),
 ]
@@ -27,6 +29,9 @@ STRONGS = [
     ("7,קול,1. a voice", None, None),
     ('7," ","kol\n1. a voice"', "value", "word"),
     ("7,,1. a voice", "value", "word"),
+    ("7,\u00a0,1. a voice", "value", "word"),
+    ('7,"\u00a0 \u00a0",1. a voice', "value", "word"),
+    ("\u00a07,\u00a0קול,1. a voice", None, None),
     ('7,קול,"kol a voice 1. no"', "value", "gloss"),
     ("7,קול,", "value", "gloss"),
     ("x,קול,1. a voice", "value", "number"),

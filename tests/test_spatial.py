@@ -52,7 +52,30 @@ def test_within_against_brute_force(spark):
         return odd
 
     want = {(p, k) for p, (lat, lng) in pts.items() for (k, _), r in rings.items() if inside(lat, lng, r)}
-    for depth in (3, 9):
-        got = [(r["id"], r["region"]) for r in S.within(df, "id", regions, "t", "ring", depth=depth).collect()]
+    for border_cells in (1, 30, 400):
+        got = [(r["id"], r["region"]) for r in S.within(df, "id", regions, "t", "ring", border_cells=border_cells).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert S.within(df, "id", regions.filter("false"), "t", "ring").count() == 0
+
+
+def test_coverage_fits_the_region(spark):
+    """A region of a few hundred metres has interior cells, as has one of 20,000 vertices; a border cell carries the edges that touch it only."""
+    n = 20_000
+    big = [{"lng": 10 + 5 * (1 + 0.1 * math.sin(50 * 2 * math.pi * i / n)) * math.cos(2 * math.pi * i / n), "lat": 20 + 5 * math.sin(2 * math.pi * i / n)} for i in range(n)]
+    small = [{"lng": x, "lat": y} for x, y in ((1.0, 1.0), (1.004, 1.001), (1.003, 1.005))]
+    regions = spark.createDataFrame([("big", big), ("small", small)], "t string, ring array<struct<lng:double,lat:double>>")
+    rows = S.coverage(regions, "t", "ring").collect()
+    for t, edges in (("big", n), ("small", 3)):
+        mine = [r for r in rows if r["region"] == t]
+        border = [r for r in mine if not r["inner"]]
+        assert 100 < len(border) <= 800 and any(r["inner"] for r in mine)
+        assert sum(len(r["edges"]) for r in border) < 2 * edges + 2 * len(border)
+    df = spark.createDataFrame([("in", 1.002, 1.0025), ("out", 1.004, 1.0001), ("mid", 20.0, 10.0), ("far", 0.0, 100.0)], "id string, lat double, lng double")
+    assert sorted((r["id"], r["region"]) for r in S.within(df, "id", regions, "t", "ring").collect()) == [("in", "small"), ("mid", "big")]
+
+
+def test_no_nested_loop(spark):
+    regions = spark.createDataFrame([("a", [{"lng": 0.0, "lat": 0.0}, {"lng": 1.0, "lat": 0.0}, {"lng": 1.0, "lat": 1.0}])], "t string, ring array<struct<lng:double,lat:double>>")
+    df = spark.createDataFrame([("p", 0.5, 0.7)], "id string, lat double, lng double")
+    plan = S.within(df, "id", regions, "t", "ring")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
