@@ -72,7 +72,7 @@ def near(df: DataFrame, key: str, km: float, lat: str = "lat", lng: str = "lng",
 
 
 #: Cells along a ring's border from which it isn't refined further, and the finest level (about 2 m).
-BORDER_CELLS, FINEST = 400, 24
+BORDER_CELLS, FINEST = 128, 24
 #: Cells overlap by this many degrees, so that no point falls between them and corners keep off round coordinates.
 _PAD = 1.2345e-9
 
