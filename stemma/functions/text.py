@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ STOP_WORDS = (
 STEM_RULES = (("ieth", "y"), ("ied", "y"), ("ies", "y"), ("eth", ""), ("est", ""), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""), ("e", ""))
 #: Endings that the variant search accepts after the stem.
 ENDINGS = ("s", "d", "th", "ing", "eth", "est", "er", "ers", "ieth", "ied", "ies", "y")
+#: White space of any kind.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: Word boundaries as ASCII sees them, on both sides.
 WORD_START, WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -94,7 +97,7 @@ def decode_entities(c: Column) -> Column:
 def plain_text(xml: Column, inline: tuple[str, ...] = ("w",)) -> Column:
     """Inline tags vanish, other tags become blanks, entities are decoded, blanks collapse."""
     c = F.regexp_replace(xml, rf"</?(?:{'|'.join(inline)})(?=[\s>/])[^>]*>", "")
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(c, r"<[^>]*>", " ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(c, r"<[^>]*>", " ")), f"{SPACE}+", " "))
 
 
 def osis_text(xml: Column) -> Column:
@@ -228,6 +231,34 @@ def mark(c: Column, words: list[str]) -> Column:
     return F.regexp_replace(safe, f"(?i){WORD_START}({'|'.join(map(re.escape, kept))}){WORD_END}", "<mark>$1</mark>") if kept else safe
 
 
+def verse_html(text: Column, names: list[str], quoted: Column) -> Column:
+    """HTML of a text: whole names (in any case, the longest first) in <mark>, the ``quoted`` stretches (start, end) in <q>, which end and begin again where a mark does; everything else escaped.
+
+    The text is cut wherever a mark or a stretch begins or ends, so that a name may reach over the edge of a stretch.
+    """
+    from stemma.operators.search import matches
+
+    longest = sorted({n.lower() for n in names if n.strip()}, key=lambda n: (-len(n), n))
+    none = F.array().cast("array<struct<start:int,end:int,surface:string>>")
+    marks = matches(text, f"(?i){WORD_START}(?:{'|'.join(map(re.escape, longest))}){WORD_END}") if longest else none
+    size = F.length(text)
+    stretches = F.filter(F.coalesce(quoted, F.array().cast("array<struct<start:int,end:int>>")), lambda r: r["start"] < F.least(r["end"], size))
+
+    def pieces(k: Column) -> Column:
+        """Each piece of a text, k: its struct of marks and stretches."""
+        cuts = F.concat(F.array(F.lit(0), size), F.transform(k["m"], lambda m: m["start"]), F.transform(k["m"], lambda m: m["end"]), F.transform(k["r"], lambda r: F.greatest(r["start"], F.lit(0))), F.transform(k["r"], lambda r: F.least(r["end"], size)))
+        edges = F.array_sort(F.array_distinct(cuts))
+        return bound(edges, lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: piece(k, a, b)))
+
+    def piece(k: Column, a: Column, b: Column) -> Column:
+        safe = escape_html(F.substr(text, a + 1, b - a))
+        within = F.exists(k["r"], lambda r: (r["start"] <= a) & (b <= r["end"]))
+        opens, closes = F.exists(k["m"], lambda m: m["start"] == a), F.exists(k["m"], lambda m: m["end"] == b)
+        return F.concat(F.when(opens, "<mark>").otherwise(""), F.when(within, F.concat(F.lit("<q>"), safe, F.lit("</q>"))).otherwise(safe), F.when(closes, "</mark>").otherwise(""))
+
+    return F.when(size > 0, F.array_join(bound(F.struct(marks.alias("m"), stretches.alias("r")), pieces), "")).otherwise(text)
+
+
 def runs(numbers: Column) -> Column:
     """'1–3, 7' of [1, 2, 3, 7]: sorted distinct numbers by runs."""
     n = F.array_sort(F.array_distinct(numbers))
@@ -252,6 +283,25 @@ def mixed(hex_colour: Column, to: int, amount: float) -> Column:
     return F.concat(F.lit("#"), F.array_join(F.transform(channels(hex_colour), step), ""))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def nth_random(seed: Column, n: Column) -> Column:
+    """The n-th number (from 1) that :func:`seeded_random` gives, as an expression."""
+    mask = 0xFFFFFFFF
+
+    def times(a: Column, b: Column) -> Column:
+        # 32-bit product from halves, which fit in a long
+        return ((a.bitwiseAND(0xFFFF) * b) + F.shiftleft((F.shiftright(a, 16) * b).bitwiseAND(0xFFFF), 16)).bitwiseAND(mask)
+
+    start = (seed.cast("long") + n.cast("long") * 0x6D2B79F5).bitwiseAND(mask)
+    one = bound(start, lambda a: times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1)))
+    two = bound(one, lambda t: (t + times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(mask).bitwiseXOR(t))
+    return bound(two, lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / 4294967296)
+
+
 def seeded_random(seed: int):
     """Function that gives the next number in [0, 1): the public-domain generator mulberry32, whose numbers must be the same on every machine."""
     state = seed & 0xFFFFFFFF

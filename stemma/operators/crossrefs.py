@@ -81,7 +81,16 @@ def to_book(links: DataFrame, book: str) -> DataFrame:
     return links.filter(F.col("target_verse").startswith(book + "."))
 
 
+def from_verse(links: DataFrame, osis: str) -> DataFrame:
+    return links.filter(F.col("source_verse") == osis)
+
+
+def to_verse(links: DataFrame, osis: str) -> DataFrame:
+    return links.filter(F.col("target_verse") == osis)
+
+
 def for_verse(links: DataFrame, osis: str) -> DataFrame:
+    """In either direction, each link once."""
     return links.filter((F.col("source_verse") == osis) | (F.col("target_verse") == osis))
 
 

@@ -83,6 +83,16 @@ def parents(links: DataFrame) -> DataFrame:
     return p.withColumns({"parent": F.coalesce("father", "mother"), "both": F.col("father").isNotNull() & F.col("mother").isNotNull()})
 
 
+def match_names(labels: DataFrame, persons: DataFrame) -> DataFrame:
+    """id, person_id of labels (id, label) such as 'Name (son of Parent)': the persons (id, name, parent_name) of that name, whose parent must agree if one is named; null if nobody."""
+    low = lambda c: F.lower(F.trim(c))
+    parent = F.nullif(low(F.regexp_extract("label", r"(?i)\((?:son|daughter) of ([^)]*)\)", 1)), F.lit(""))
+    asked = labels.select("id", low(F.regexp_replace("label", r"\s*\(.*$", "")).alias("k"), parent.alias("p"))
+    known = persons.select(F.col("id").alias("person_id"), low(F.col("name")).alias("k"), low(F.col("parent_name")).alias("q"))
+    hits = asked.join(known, "k").filter("p is null or p = q").select("id", "person_id")
+    return labels.select("id").distinct().join(hits, "id", "left")
+
+
 def many_fathers(links: DataFrame) -> DataFrame:
     return links.filter("type = 'father-of'").groupBy(F.col("person_to").alias("child")).agg(F.countDistinct("person_from").alias("fathers")).filter("fathers > 1")
 

@@ -7,6 +7,8 @@ from collections.abc import Collection
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.functions import text as T
+from stemma.operators.crossrefs import book_matrix
 from stemma.util import broadcast_if_small, cut
 
 
@@ -79,6 +81,23 @@ def neighbourhood(links: DataFrame, mentions: DataFrame, seed: str, hops: int =
     return nodes, kept.select("id", "a", "b", "category", "type").distinct(), truncated
 
 
+def kept_matrix(links: DataFrame) -> DataFrame:
+    """The matrix of books, computed once for all who read it."""
+    return cut(book_matrix(links))
+
+
+def fallback(books: DataFrame, seed: int, chords: int = 2) -> DataFrame:
+    """a, b, weight of a graph to draw where there are no links: books (book, ord from 0) in a ring, and up to ``chords`` seeded others of each, the same in every run."""
+    n = books.agg(F.count("*").alias("n"))
+    rows = books.select("book", "ord").join(F.broadcast(n))
+    ring_ = rows.select("ord", F.pmod(F.col("ord") + 1, F.col("n")).alias("to"), F.lit(5).alias("weight"))
+    draw = lambda k: T.nth_random(F.lit(seed), F.col("ord") * 2 * chords + k)
+    picked = rows.select("ord", F.explode(F.array(*[F.struct(F.floor(draw(2 * c + 1) * F.col("n")).alias("to"), (F.floor(draw(2 * c + 2) * 20) + 1).cast("int").alias("weight")) for c in range(chords)])).alias("x")).select("ord", F.col("x.to").alias("to"), "x.weight")
+    pairs = ring_.unionByName(picked).filter(F.col("ord") != F.col("to")).groupBy(F.least("ord", "to").alias("i"), F.greatest("ord", "to").alias("j")).agg(F.max("weight").alias("weight"))
+    at = lambda k, name: books.select(F.col("ord").alias(k), F.col("book").alias(name))
+    return pairs.join(at("i", "a"), "i").join(at("j", "b"), "j").select("a", "b", "weight")
+
+
 def ring(books: DataFrame, gap: float = 5.2, base: float = 6.0, scale: float = 1.5) -> DataFrame:
     """books (book, ord, section, chapters) with the angle in degrees and radius of each on a ring with a gap after every section."""
     total = books.agg(F.count("*").alias("n"), F.countDistinct("section").alias("g"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,10 +96,3 @@ def stored_index(spark: SparkSession, path: str, verses: DataFrame, key: str = "
 def current_mode(mode: Column) -> Column:
     """Saved searches' mode; a retired one is the concordance."""
     return F.when(mode == "lexicon", "concordance").otherwise(mode)
-
-
-def best_per(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
-    """The row of the least value in each group; of equal ones the first by ``tie``."""
-    from stemma.util import keep_first
-
-    return keep_first(df, list(keys), [value, tie])

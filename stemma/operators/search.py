@@ -87,6 +87,23 @@ def lexicon_search(lexicon: DataFrame, query: str) -> DataFrame:
     return lexicon.filter(F.lower("gloss").contains(q) | F.lower("lemma").contains(q) | T.fold(F.col("transliteration")).contains(q) | F.coalesce(F.col("id") == wanted, F.lit(False)))
 
 
+def study(groups: DataFrame, lexicon: DataFrame, query: str) -> DataFrame:
+    """ord, lemma, hits, gloss: lemma groups with their lexicon entry (id, gloss, ...; null where there is none), the most frequent first, the group of no lemma after them; then the entries that the query finds in the lexicon and no group has.
+
+    The groups of one word are few, which is why they are numbered in one task.
+    """
+    named = groups.select("lemma", "hits").join(lexicon.select(F.col("id").alias("lemma"), "gloss"), "lemma", "left").select(F.lit(0).alias("part"), "lemma", "hits", "gloss")
+    more = lexicon_search(lexicon, query).join(groups.select(F.col("lemma").alias("id")), "id", "left_anti").select(F.lit(1).alias("part"), F.col("id").alias("lemma"), F.lit(0).cast("long").alias("hits"), "gloss")
+    order = Window.orderBy("part", F.col("lemma").isNull(), F.desc("hits"), "lemma")
+    return named.unionByName(more).select(F.row_number().over(order).alias("ord"), "lemma", "hits", "gloss")
+
+
+def entries_of(verses: DataFrame, lexicon: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns and the lexicon entry (all columns) of each distinct lemma of a verse; lemmas without an entry are left out."""
+    ids = verses.select(*keep, F.explode(F.array_distinct("lemmas")).alias("id")).distinct()
+    return ids.join(lexicon, "id")
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of a text without stop words."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
@@ -190,8 +207,3 @@ def dispatch(query: str, selected: list[str], tagged: list[str]) -> tuple[str, l
     if q[:1].lower() in ("h", "g") and q[1:].isdigit() and len(q[1:].lstrip("0") or "0") <= 5:
         return "id", both or tagged
     return ("lemma", both) if both else ("flat", selected)
-
-
-def grouped_top(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)

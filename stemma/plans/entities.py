@@ -10,7 +10,7 @@ from stemma.operators import entities as E
 from stemma.operators import genealogy as N
 from stemma.operators import quality as Q
 from stemma.plans import adapters as A
-from stemma.util import cut, table
+from stemma.util import cut, keep_first, table
 
 MALE, FEMALE = ("male", "m"), ("female", "f")
 POLICY = E.MergePolicy(("scribe-ledger", "north-codex", "ember-catalog", "stone-index", "lampstand"), exclusive=(("precision", "lampstand"),))
@@ -114,7 +114,7 @@ def exact_ids(spark: SparkSession, d: str) -> DataFrame:
 def _places(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "place")
     ok = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180)
-    return E.first_wins(rows, ["id"]).select("id", "name", F.col("verse_refs").alias("refs"), F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lng")).alias("lng"), "confidence", "precision")
+    return keep_first(rows, ["id"], ["seq"]).select("id", "name", F.col("verse_refs").alias("refs"), F.when(ok, F.col("lat")).alias("lat"), F.when(ok, F.col("lng")).alias("lng"), "confidence", "precision")
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:

@@ -61,7 +61,9 @@ def links_for_supplier_verse(spark: SparkSession, d: str) -> DataFrame:
     """Links of one passage in either direction: the passage with the most outgoing links."""
     rows = A.stored_links(spark, d)
     best = rows.groupBy("source_verse").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_verse").limit(1).select(F.col("source_verse").alias("v"))
-    return rows.join(F.broadcast(best), (F.col("source_verse") == F.col("v")) | (F.col("target_verse") == F.col("v"))).drop("v")
+    out = rows.join(F.broadcast(best), F.col("source_verse") == F.col("v"))
+    into = rows.join(F.broadcast(best), F.col("target_verse") == F.col("v")).filter("source_verse <> target_verse")
+    return out.unionByName(into).drop("v")
 
 
 def links_between_books(spark: SparkSession, d: str) -> DataFrame:

@@ -10,14 +10,14 @@ from stemma.functions import text as T
 from stemma.operators import search as S
 from stemma.operators import store
 from stemma.plans import adapters as A
-from stemma.util import islands, table
+from stemma.util import islands, number_within, table
 
 
 def chapter_verses(spark: SparkSession, d: str) -> DataFrame:
     """Verses of the chapter that most English documents are about."""
     v = A.verses(spark, d).filter("translation_id = 'en'")
-    best = v.groupBy("book", "chapter").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "book", "chapter").limit(1).select("book", "chapter")
-    return v.join(F.broadcast(best), ["book", "chapter"]).select("seq", "osis_id", "verse", F.length("text").alias("n_chars"))
+    best = v.groupBy("book", "chapter").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "book", "chapter").first()
+    return store.chapter(v, "en", best[0] if best else "", best[1] if best else 0).select("seq", "osis_id", "verse", F.length("text").alias("n_chars"))
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +65,9 @@ def mention_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 def relationships_for_person(spark: SparkSession, d: str) -> DataFrame:
     rel = table(spark, d, "relationship")
-    who = F.lit("head_khreibraekhor_2")
-    return rel.filter((F.col("person_from") == who) | (F.col("person_to") == who)).select("id", "person_from", "person_to", "type", "seq")
+    who = "head_khreibraekhor_2"
+    other = store.get(rel, "person_to", who).filter(~F.col("person_from").eqNullSafe(F.lit(who)))
+    return store.get(rel, "person_from", who).unionByName(other).select("id", "person_from", "person_to", "type", "seq")
 
 
 def annotations_newest(spark: SparkSession, d: str) -> DataFrame:
@@ -104,8 +105,8 @@ def contiguous_groups(spark: SparkSession, d: str) -> DataFrame:
 def canonical_order(spark: SparkSession, d: str) -> DataFrame:
     """Verses' place in canonical order within their translation; those of unknown books last."""
     v = A.verses(spark, d).join(F.broadcast(A.book_order(spark, d).select("book", "ord")), "book", "left")
-    w = Window.partitionBy("translation_id", "book").orderBy("chapter", "verse", "seq")
-    return v.select("seq", "translation_id", F.coalesce("ord", F.lit(1000)).alias("ord"), F.row_number().over(w).alias("nth"))
+    placed = number_within(v.select("seq", "translation_id", "book", "chapter", "verse", F.coalesce("ord", F.lit(1000)).alias("ord")), ["translation_id", "book"], ["chapter", "verse", "seq"], "nth")
+    return placed.select("seq", "translation_id", "ord", "nth")
 
 
 def xref_counts_per_verse(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +129,7 @@ def hit_totals(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("translation_id").agg(F.sum("count").alias("hits"), F.countDistinct("seq").alias("verses"))
 
 
-def _tagged(spark: SparkSession, d: str) -> DataFrame:
+def tagged(spark: SparkSession, d: str) -> DataFrame:
     """English verses whose every word of five letters and more is tagged with an id made from its first letter and length, in a span of its own."""
     v = A.verses(spark, d).filter("translation_id = 'en' and text is not null")
     found = S.matches(F.col("text"), r"[A-Za-z]{5,}")
@@ -138,11 +139,11 @@ def _tagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strongs_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return S.id_search(_tagged(spark, d), "h01196")
+    return S.id_search(tagged(spark, d), "h01196")
 
 
 def lemma_groups(spark: SparkSession, d: str) -> DataFrame:
-    return S.lemma_groups(S.lemma_hits(_tagged(spark, d), "gather", variants=True))
+    return S.lemma_groups(S.lemma_hits(tagged(spark, d), "gather", variants=True))
 
 
 def lexicon_search(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +170,7 @@ def phrase_rerank(spark: SparkSession, d: str) -> DataFrame:
 def _everywhere(spark: SparkSession, d: str, q: str, fuzzy: float = 0.2) -> DataFrame:
     """Scores for a query of all documents of all translations; those that are tagged also by lemma."""
     docs = A.verses(spark, d)
-    tagged = docs.join(_tagged(spark, d).select("seq", "lemmas").dropDuplicates(["seq"]), "seq", "left")
+    tagged = docs.join(tagged(spark, d).select("seq", "lemmas").dropDuplicates(["seq"]), "seq", "left")
     return S.search_each(S.field_postings(tagged, "seq"), "seq", q, fuzzy=fuzzy)
 
 
@@ -258,7 +259,7 @@ QUERIES = {
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _V = f"with {A.VERSES}"
 _MEN = "men as (select distinct id, unnest(verse_refs) osis_id from person), m as (select * from men where osis_id is not null)"
-_TAG = r"""tok as (select translation_id, osis_id, seq, unnest(string_split_regex(text, '[^A-Za-z]+')) w from verses where translation_id = 'en' and text is not null),
+TAGGED = r"""tok as (select translation_id, osis_id, seq, unnest(string_split_regex(text, '[^A-Za-z]+')) w from verses where translation_id = 'en' and text is not null),
 long as (select *, lower(w) s, 'H' || (ascii(lower(w)) * 10 + length(w) % 10) id from tok where length(w) >= 5)"""
 _IDX = rf"""idx as (select seq, term, length, count(*) tf from (select seq, unnest(t) term, len(t) length from (
   select seq, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '' and w not in {_STOP}) t from verses where translation_id = 'en')) group by all),
@@ -304,8 +305,8 @@ select coalesce(p.o, q.o) osis_id, coalesce(p.n, 0) persons, coalesce(q.n, 0) pl
     "concordance_exact": rf"""{_V} select translation_id, osis_id, seq, lower(s) surface, count(*) as "count" from (select *, unnest(regexp_extract_all(text, '(?i)\b(covenant)\b')) s from verses) group by all""".replace("text, unnest", "unnest"),
     "concordance_variants": rf"""{_V} select translation_id, osis_id, seq, lower(s) surface, count(*) as "count" from (select translation_id, osis_id, seq, unnest(regexp_extract_all(text, '(?i)\bgathere?(?:s|d|th|ing|eth|est|er|ers|ieth|ied|ies|y)?\b')) s from verses) group by all""",
     "hit_totals": rf"""{_V} select translation_id, sum(c)::bigint hits, count(distinct seq) verses from (select translation_id, seq, len(regexp_extract_all(text, '(?i)\bthe\b')) c from verses) where c > 0 group by 1""",
-    "strongs_tokens": f'{_V}, {_TAG} select translation_id, osis_id, seq, s surface, count(*) as "count" from long where id = \'H1196\' group by all',
-    "lemma_groups": rf"""{_V}, {_TAG}, h as (select * from long where regexp_full_match(s, 'gathere?(?:s|d|th|ing|eth|est|er|ers|ieth|ied|ies|y)?')), c as (select id, s, count(*) n from h group by all)
+    "strongs_tokens": f'{_V}, {TAGGED} select translation_id, osis_id, seq, s surface, count(*) as "count" from long where id = \'H1196\' group by all',
+    "lemma_groups": rf"""{_V}, {TAGGED}, h as (select * from long where regexp_full_match(s, 'gathere?(?:s|d|th|ing|eth|est|er|ers|ieth|ied|ies|y)?')), c as (select id, s, count(*) n from h group by all)
 select h.id lemma, count(*) hits, count(distinct (translation_id, osis_id)) verses, any_value(x) surfaces from h join (select id, string_agg(s || ' ' || n, ', ' order by n desc, s) x from c group by id) k on k.id = h.id group by 1""",
     "lexicon_search": "select 'H' || p_partkey id, p_name gloss, p_type lemma, p_brand transliteration from part where contains(lower(p_name), 'eco') or contains(lower(p_type), 'eco') or contains(strip_accents(lower(p_brand)), 'eco')",
     "fulltext_bm25": f"{_V}, {_IDX}, e as ({_expansion('shepherd', 2)}) select seq, round(sum({_BM}), 6) score from idx join e using (term), stat where weight is not null group by seq",

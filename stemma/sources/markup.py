@@ -19,6 +19,7 @@ from stemma.util import ship
 
 _ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 _TOKEN = re.compile(r"<[^>]*>|&(?:amp|lt|gt|quot|apos);|[^<&]|&|<")
+_SPACE = re.compile(r"[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _IDS = re.compile(r"\b(?:lemma|s)=\"([^\"]*)\"")
 VERSE = "file string, translation_id string, book string, chapter int, verse int, verse_end int, osis_id string, text string, lemmas array<string>, align string, wj string, seq long"
 
@@ -55,7 +56,7 @@ def walk(xml: str, inline: tuple[str, ...] = ("w",), strip_zeros: bool = True, q
                 continue
             t = " "
         c = _ENTITIES.get(t, t)
-        if c.isspace():
+        if _SPACE.match(c):
             if not out or out[-1] == " ":
                 continue
             c = " "

@@ -118,6 +118,21 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with the place of each row in its group, from 1, by ``order``. A hot group is spread over ranges: rows are numbered within ranges, and a range begins where those before it end."""
+    at = "__range"
+    ranged = cut(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *keys, *order).withColumn(at, F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, at).agg(F.count("*").alias("__n"))  # a row per group and range
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(at).alias("__at"), before.alias("__before"))
+    same = F.col(at) == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    local = F.row_number().over(Window.partitionBy(*keys, at).orderBy(*order))
+    numbered = ranged.withColumn("__local", local).join(starts, same)
+    return numbered.select(*df.columns, (F.col("__local") + F.col("__before")).cast("int").alias(name))
+
+
 def islands(df: DataFrame, partition: Sequence[str], value: str, name: str = "island") -> DataFrame:
     """Number runs of consecutive integers: rows of one run share value - row_number."""
     w = Window.partitionBy(*partition).orderBy(value)

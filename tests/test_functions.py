@@ -90,3 +90,22 @@ def test_fallback_gloss(spark, short, long, want):
     df = spark.createDataFrame([(short, long)], "a string, b string")
     got = df.select(T.fallback_gloss(F.col("a"), F.col("b"))).first()[0]
     assert got == want
+
+
+def test_deeply_nested_elements(spark):
+    deep = "A" + "<f>x" * 12 + "</f>" * 12 + "B"
+    got = apply(spark, lambda c: T.remove_elements(c, "f", "x"), deep, "a<f>b</f></f>c", "<x>1<f>2</x>3</f>4", "a<f>b<f>c</f>", None)
+    assert got == ["AB", "ac", "", "a", None]  # of crossing elements, the second is never closed
+
+
+def test_verse_html(spark):
+    df = spark.createDataFrame([("So <Ana Maria> went & Ana saw", [(4, 8), (18, 99)]), ("", [(0, 3)]), (None, None), ("Ana", None)], "t string, q array<struct<start:int,end:int>>")
+    got = [r[0] for r in df.select(T.verse_html(F.col("t"), ["Ana", "Ana Maria"], F.col("q"))).collect()]
+    assert got == ["So &lt;<mark><q>Ana </q>Maria</mark>&gt; we<q>nt &amp; </q><mark><q>Ana</q></mark><q> saw</q>", "", None, "<mark>Ana</mark>"]
+
+
+def test_random_numbers_as_an_expression(spark):
+    draw = T.seeded_random(12345)
+    want = [draw() for _ in range(20)]
+    got = spark.range(1, 21).orderBy("id").select(T.nth_random(F.lit(12345), F.col("id"))).collect()
+    assert [r[0] for r in got] == want
