@@ -65,6 +65,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(items, profiles, "doc_id")
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers keep, by capacity: items, tokens, items in more or less than all their tokens, containers over capacity, items split though they fit, clusters that share a container before all room is used; and whether there are at most 3 % more containers than tokens ask for, and two."""
+    c = p8_containers(spark, d)
+    docs = tokens.lengths(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text").groupBy("doc_id").agg(F.sum("n_tokens").alias("want"))
+    by_item = c.groupBy("capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(docs, "doc_id")
+    items = by_item.groupBy("capacity").agg(F.count("*").alias("items"), F.sum("n").alias("tokens"), F.count(F.when(F.col("n") != F.col("want"), 1)).alias("wrong"), F.count(F.when((F.col("pieces") > 1) & (F.col("want") <= F.col("capacity")), 1)).alias("split"))
+    full = c.filter("container_id is not null").groupBy("capacity", "container_id").agg(F.sum("n_tokens").alias("n"))
+    boxes = full.groupBy("capacity").agg(F.count(F.when(F.col("n") > F.col("capacity"), 1)).alias("over"), F.count("*").alias("boxes"))
+    tight = F.col("boxes") <= F.ceil(F.col("tokens") / F.col("capacity")) * 1.03 + 2
+    return items.join(boxes, "capacity").select("capacity", "items", "wrong", "split", "over", tight.alias("tight"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.hard_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels")).distinct()
 
@@ -77,7 +89,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", F.floor(F.col("score") + 0.5).cast("int").alias("level"), (F.col("english") >= reading.ENGLISH).alias("is_english"), "words")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_layers, p7_ids, p7_roundtrip, p8_containers, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_layers, p7_ids, p7_roundtrip, p8_containers, p8_check, p9_found, p9_levels)}
 _STATED = "nullif(trim(c.value, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)), '')"
 _SOURCE = r"regexp_replace(lower(trim(%s)), '[\s_-]+', '-', 'g')"
 _SQL_CLAIMS = rf"""
@@ -104,5 +116,7 @@ l1 as (select entity_type, entity_id, source_id, max(k) layer from lay group by
 select x.entity_id, field, layer::int layer, (min(layer) over (partition by x.entity_type, x.entity_id, field))::int first_layer, records::int records
 from x join ly on ly.entity_type = x.entity_type and ly.entity_id = x.entity_id and ly.source_id = x.source_id where ok
 qualify row_number() over (partition by x.entity_type, x.entity_id, field order by precedence, x.at_ desc nulls last, v) = 1""",
+    # what must hold of any packing
+    "p8_check": "select distinct capacity::bigint capacity, (select count(distinct doc_id) from documents) items, 0::bigint \"wrong\", 0::bigint \"split\", 0::bigint \"over\", true tight from pack_profile where capacity is not null",
     "p7_roundtrip": "select doc_id, length(coalesce(text, '')) n_chars, md5(coalesce(text, '')) digest from documents",
 }

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.util import cut, ship, spread
@@ -246,6 +246,11 @@ def _score(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(level, pa.float64()), pa.array(known, pa.float64())], names=["key", "score", "english"])
 
 
+def blank_words(text: Column) -> Column:
+    """The words of a text as blanks separate them."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\u00a0\u2007\u202f\u3000]+"), lambda w: w != "")
+
+
 def score(documents: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """key, score, english, words: for every row, its level as a number from 1 to 5, the share of its words (without names) that
     the labelled English sample knows, and the number of its blank-separated words.
@@ -256,7 +261,7 @@ def score(documents: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = dict(documents.dtypes)[key]
-    rows = spread(documents).select(F.struct(F.col(key).alias("key"), F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\u00a0\u2007\u202f\u3000]+"), lambda w: w != "")).alias("words")).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(documents).select(F.struct(F.col(key).alias("key"), F.size(blank_words(F.col(text))).alias("words")).alias("key"), F.col(text).cast("string").alias("text"))
     scored = rows.mapInArrow(lambda it: _score(it, shared), f"key struct<key: {kind}, words: int>, score double, english double")
     return scored.select(F.col("key.key").alias(key), "score", "english", F.col("key.words").alias("words"))
 
@@ -276,5 +281,7 @@ def hard_documents(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     model = train(documents, labels, key, text, level)
     if model is None:
         return documents.select(key).limit(0)
-    scored = score(documents, model, key, text).filter((F.col("words") >= min_words) & (F.col("english") >= ENGLISH) & (F.col("score") >= hard))
-    return cut(scored).join(labels.select(key).distinct(), key, "left_anti").select(key)
+    # short texts can't be an answer; who has a label is told apart after scoring, so that no text is shuffled
+    long = documents.select(key, text).filter(F.size(blank_words(F.col(text))) >= min_words)
+    hard_ones = score(long, model, key, text).filter((F.col("english") >= ENGLISH) & (F.col("score") >= hard)).select(key)
+    return cut(hard_ones).join(labels.select(key).distinct(), key, "left_anti")
