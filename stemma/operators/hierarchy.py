@@ -44,7 +44,7 @@ class Forest:
 
 
 #: Pointer jumps that one job makes: chains get JUMPS + 1 times longer each.
-JUMPS = 7
+JUMPS = 3
 
 
 def _boughs(told: DataFrame) -> DataFrame:
