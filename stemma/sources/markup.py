@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import text as T
@@ -109,7 +109,7 @@ def milestones(files: DataFrame, translation: str, value: str = "value") -> Data
 
     Attributes in any order; ids of three parts; verses without text are dropped.
     """
-    parts = files.select(_file(files), F.posexplode(F.split(value, r"(?=<verse\b[^>]*\bsID=)")).alias("i", "s"))
+    parts = _told_apart(files, value).select("file", F.posexplode(F.split(value, r"(?=<verse\b[^>]*\bsID=)")).alias("i", "s"))
     start = r"(?s)^<verse\b([^>]*)>"
     tag = F.regexp_extract("s", start, 1)
     rows = parts.select("file", "i", "s", F.regexp_extract(tag, r"\bosisID=\"([^\"]*)\"", 1).alias("osis_id"), F.regexp_extract(tag, r"\bsID=\"([^\"]*)\"", 1).alias("sid"))
@@ -125,9 +125,10 @@ def milestones(files: DataFrame, translation: str, value: str = "value") -> Data
     return _aligned(verses.filter("text <> '' and chapter is not null and verse is not null"), ("w", "transChange", "divineName", "seg", "q"), True).drop("file")
 
 
-def _file(files: DataFrame) -> Column:
-    """What tells files apart: their path, else their place in the table; equal files are two."""
-    return (F.col("path") if "path" in files.columns else F.monotonically_increasing_id().cast("string")).alias("file")
+def _told_apart(files: DataFrame, value: str) -> DataFrame:
+    """file, value: files by their path, else by their place in the table; equal files are two."""
+    file = F.col("path") if "path" in files.columns else F.monotonically_increasing_id().cast("string")
+    return files.select(file.alias("file"), value)  # a step of its own, before rows are exploded
 
 
 def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: str = "value") -> DataFrame:
@@ -137,7 +138,7 @@ def stateful(files: DataFrame, translation: str, codes: dict[str, str], value: s
     one key that follow each other ('3a', '3b') are put together.
     """
     token = r"(?=<(?:book|c|v|ve)\b)"
-    t = files.select(_file(files), F.posexplode(F.split(value, token)).alias("i", "s"))
+    t = _told_apart(files, value).select("file", F.posexplode(F.split(value, token)).alias("i", "s"))
     kind = F.regexp_extract("s", r"^<(book|c|ve|v)\b", 1)
     ident = F.regexp_extract("s", r"^<\w+\b[^>]*?\bid=\"([^\"]*)\"", 1)
     w = Window.partitionBy("file").orderBy("i")

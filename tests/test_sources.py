@@ -96,6 +96,12 @@ def test_stateful(spark):
     assert [(s["start"], s["end"]) for s in five["wj"]] == [(4, 7)]
 
 
+def test_equal_files_stay_apart(spark):
+    xml = '<usfx><book id="GEN"/><c id="1"/><v id="1"/>one<ve/><v id="2"/>two<ve/></usfx>'
+    rows = K.stateful(one(spark, xml, xml), "W", CODES).collect()
+    assert sorted((r["osis_id"], r["text"]) for r in rows) == [("Gen.1.1", "one")] * 2 + [("Gen.1.2", "two")] * 2
+
+
 def test_nested_elements(spark):
     df = one(spark, "a<f>x<f>y</f>z</f>b<fe/>c", "a<f x='1'/>b", "a<f>never closed", "<fe>kept</fe>", None)
     assert [r[0] for r in df.select(T.remove_elements(F.col("value"), "f")).collect()] == ["ab<fe/>c", "a<f x='1'/>b", "a", "<fe>kept</fe>", None]
