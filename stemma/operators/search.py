@@ -116,21 +116,25 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "length", F.explode("terms").alias("term")).groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
 
 
+def _found_by(term: Column, w: str, prefix: bool, fuzzy: float) -> Column:
+    """The weight by which a word finds a term; null if it doesn't."""
+    best = F.when(term == w, 1.0)
+    if prefix:
+        best = best.when(term.startswith(w), PREFIX_WEIGHT * len(w) / F.length(term))
+    reach = int(fuzzy * len(w) + 0.5) if len(w) > 4 and not (w[0] in "hg" and w[1:2].isdigit()) else 0
+    if reach:
+        d = F.levenshtein(term, F.lit(w))
+        best = best.when((F.abs(F.length(term) - len(w)) <= reach) & (d <= reach), FUZZY_WEIGHT * (1 - d / len(w)))
+    return best
+
+
 def expand(vocabulary: DataFrame, words: list[str], prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
     """word, term, weight: the terms that each word finds: itself (1), those it begins (less by length), and, for words over 4 letters that are no ids,
     those within fuzzy x length edits. Each pair once, by its best weight.
     """
     out = None
     for w in words:
-        word, term = F.lit(w), F.col("term")
-        d = F.levenshtein(term, word)
-        best = F.when(term == word, 1.0)
-        if prefix:
-            best = best.when(term.startswith(w), PREFIX_WEIGHT * len(w) / F.length(term))
-        reach = int(fuzzy * len(w) + 0.5) if len(w) > 4 and not (w[0] in "hg" and w[1:2].isdigit()) else 0
-        if reach:
-            best = best.when((F.abs(F.length(term) - len(w)) <= reach) & (d <= reach), FUZZY_WEIGHT * (1 - d / len(w)))
-        part = vocabulary.select(word.alias("word"), "term", best.alias("weight")).filter("weight is not null")
+        part = vocabulary.select(F.lit(w).alias("word"), "term", _found_by(F.col("term"), w, prefix, fuzzy).alias("weight")).filter("weight is not null")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -150,48 +154,77 @@ def search(index: DataFrame, key: str, query: str, prefix: bool = True, fuzzy: f
     return rows.groupBy(key).agg(F.sum(part).alias("score"))
 
 
-def field_postings(docs: DataFrame, key: str, by: str = "translation_id", text: str = "text", lemmas: str | None = "lemmas") -> DataFrame:
-    """by, key, field, term, tf, length: as :func:`postings`, of the text and of the lemmas (array, may be null), with the column that tells the indexes apart."""
+def _fields(docs: DataFrame, key: str, by: str, text: str, lemmas: str | None) -> DataFrame:
+    """by, key, field, length, terms: a row per document and field; text and lemmas (array, may be null) are the fields."""
     fields = [F.struct(F.lit("text").alias("field"), terms(F.col(text)).alias("terms"))]
     if lemmas:
         low = F.filter(F.transform(F.coalesce(lemmas, F.array().cast("array<string>")), lambda x: F.lower(x)), lambda x: (x != "") & ~x.isin(*T.STOP_WORDS))
         fields.append(F.struct(F.lit("lemmas").alias("field"), low.alias("terms")))
-    rows = docs.select(by, key, F.explode(F.array(*fields)).alias("f")).select(by, key, "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term"))
+    return docs.select(by, key, F.explode(F.array(*fields)).alias("f")).select(by, key, "f.field", F.size("f.terms").alias("length"), "f.terms")
+
+
+def field_postings(docs: DataFrame, key: str, by: str = "translation_id", text: str = "text", lemmas: str | None = "lemmas") -> DataFrame:
+    """by, key, field, term, tf, length: as :func:`postings`, of the text and of the lemmas (array, may be null), with the column that tells the indexes apart."""
+    rows = _fields(docs, key, by, text, lemmas).select(by, key, "field", "length", F.explode("terms").alias("term"))
     return rows.groupBy(by, key, "field", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def search_each(index: DataFrame, key: str, query: str, by: str = "translation_id", prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
-    """by, key, score by BM25+ over the fields of :func:`field_postings`: each index has its own number of documents, and each of its fields its own document frequencies and mean length. by and field aren't null."""
-    words = [w for w in dict.fromkeys(query.lower().split()) if w not in T.STOP_WORDS]
-    if not words:
-        return index.select(by, key, F.lit(0.0).alias("score")).limit(0)
-    index = cut(index)  # read several times
-    counts = index.groupBy(by).agg(F.countDistinct(key).alias("n"))
-    means = index.groupBy(by, "field", key).agg(F.max("length").alias("length")).groupBy(by, "field").agg(F.avg("length").alias("mean"))
-    df = index.groupBy(by, "field", "term").agg(F.count("*").alias("df"))
+def _query_words(query: str) -> list[str]:
+    return [w for w in dict.fromkeys(query.lower().split()) if w not in T.STOP_WORDS]
+
+
+def _score_each(hits: DataFrame, lengths: DataFrame, key: str, by: str, words: list[str], prefix: bool, fuzzy: float) -> DataFrame:
+    """by, key, score from postings (hits: at least all of those that the words find) and the lengths of all documents' fields."""
+    counts = lengths.groupBy(by).agg(F.countDistinct(key).alias("n"))
+    means = lengths.groupBy(by, "field", key).agg(F.max("length").alias("length")).groupBy(by, "field").agg(F.avg("length").alias("mean"))
+    df = hits.groupBy(by, "field", "term").agg(F.count("*").alias("df"))
     found = expand(df.select("term").distinct(), words, prefix, fuzzy)
-    rows = index.join(found.select("term", "weight"), "term").join(df, [by, "field", "term"]).join(means, [by, "field"]).join(counts, by)
+    rows = hits.join(found.select("term", "weight"), "term").join(df, [by, "field", "term"]).join(means, [by, "field"]).join(counts, by)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("weight") * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
     return rows.groupBy(by, key).agg(F.sum(part).alias("score"))
 
 
+def search_each(index: DataFrame, key: str, query: str, by: str = "translation_id", prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
+    """by, key, score by BM25+ over the fields of :func:`field_postings`: each index has its own number of documents, and each of its fields its own document frequencies and mean length. by and field aren't null."""
+    if not (words := _query_words(query)):
+        return index.select(by, key, F.lit(0.0).alias("score")).limit(0)
+    index = cut(index)  # read several times
+    return _score_each(index, index, key, by, words, prefix, fuzzy)
+
+
+def search_docs(docs: DataFrame, key: str, query: str, by: str = "translation_id", text: str = "text", lemmas: str | None = "lemmas", prefix: bool = True, fuzzy: float = 0.2) -> DataFrame:
+    """:func:`search_each` over documents that have no stored index: one pass over the texts, which keeps every field's length and, of its terms, those that the query finds. No other term counts in a score."""
+    if not (words := _query_words(query)):
+        return docs.select(by, key, F.lit(0.0).alias("score")).limit(0)
+    asked = lambda t: F.coalesce(*[_found_by(t, w, prefix, fuzzy) for w in words]).isNotNull()
+    rows = _fields(docs, key, by, text, lemmas).filter("length > 0")
+    seen = cut(rows.select(by, key, "field", "length", F.filter("terms", asked).alias("terms")))  # read several times
+    hits = seen.select(by, key, "field", "length", F.explode("terms").alias("term")).groupBy(by, key, "field", "term", "length").agg(F.count("*").alias("tf"))
+    return _score_each(hits, seen, key, by, words, prefix, fuzzy)
+
+
 def in_testament(scored: DataFrame, books: DataFrame, testament: str) -> DataFrame:
     """Of scored rows (book) those whose book (book, testament) is of the testament; before :func:`top`, so that the limit counts these only."""
     return scored.join(books.filter(F.col("testament") == testament).select("book").distinct(), "book", "left_semi")
 
 
-def rerank(scored: DataFrame, text: str, query: str) -> DataFrame:
-    """scored with 50 more where the text has the whole phrase, else 15 more where it has all of several words; only for queries with a blank."""
+def bonus(text: Column, query: str) -> Column:
+    """50 where the text has the whole phrase, else 15 where it has all of several words, else 0; 0 for queries without a blank."""
     phrase = query.strip().lower()
-    words = [w for w in phrase.split() if w not in T.STOP_WORDS]
     if " " not in phrase:
-        return scored
+        return F.lit(0)
+    words = [w for w in phrase.split() if w not in T.STOP_WORDS]
     low = F.lower(F.coalesce(text, F.lit("")))
     every = F.lit(len(words) > 1)
     for w in words:
         every = every & low.contains(w)
-    return scored.withColumn("score", F.col("score") + F.when(low.contains(phrase), 50).when(every, 15).otherwise(0))
+    return F.when(low.contains(phrase), 50).when(every, 15).otherwise(0)
+
+
+def rerank(scored: DataFrame, text: str, query: str) -> DataFrame:
+    """scored with its :func:`bonus` added; only for queries with a blank."""
+    return scored.withColumn("score", F.col("score") + bonus(F.col(text), query)) if " " in query.strip() else scored
 
 
 def top(scored: DataFrame, *ties: str, n: int = 50) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import refs as R
@@ -129,12 +129,15 @@ def hit_totals(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("translation_id").agg(F.sum("count").alias("hits"), F.countDistinct("seq").alias("verses"))
 
 
+def _ident(word: Column) -> Column:
+    return F.concat(F.lit("H"), (F.ascii(word) * 10 + F.length(word) % 10).cast("string"))
+
+
 def tagged(spark: SparkSession, d: str) -> DataFrame:
     """English verses whose every word of five letters and more is tagged with an id made from its first letter and length, in a span of its own."""
     v = A.verses(spark, d).filter("translation_id = 'en' and text is not null")
     found = S.matches(F.col("text"), r"[A-Za-z]{5,}")
-    ident = lambda s: F.concat(F.lit("H"), (F.ascii(s) * 10 + F.length(s) % 10).cast("string"))
-    align = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array(ident(m["surface"])).alias("ids")))
+    align = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.array(_ident(m["surface"])).alias("ids")))
     return v.withColumn("align", align).withColumn("lemmas", F.array_distinct(F.flatten(F.transform("align", lambda s: s["ids"]))))
 
 
@@ -169,9 +172,10 @@ def phrase_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 def _everywhere(spark: SparkSession, d: str, q: str, fuzzy: float = 0.2) -> DataFrame:
     """Scores for a query of all documents of all translations; those that are tagged also by lemma."""
-    docs = A.verses(spark, d)
-    tagged = docs.join(tagged(spark, d).select("seq", "lemmas").dropDuplicates(["seq"]), "seq", "left")
-    return S.search_each(S.field_postings(tagged, "seq"), "seq", q, fuzzy=fuzzy)
+    # the lemmas of tagged(), without the spans
+    lemmas = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), 1), lambda w: _ident(F.lower(w))))
+    docs = A.verses(spark, d).withColumn("lemmas", F.when((F.col("translation_id") == "en") & F.col("text").isNotNull(), lemmas))
+    return S.search_docs(docs, "seq", q, fuzzy=fuzzy)
 
 
 def fulltext_translations(spark: SparkSession, d: str) -> DataFrame:
@@ -183,9 +187,10 @@ def testament_search(spark: SparkSession, d: str) -> DataFrame:
     """The best 50 of all translations in the later half of the books."""
     q = "distant promise"
     half = A.book_order(spark, d).select("book", F.when(F.col("ord") * 2 < F.count("*").over(Window.partitionBy(F.lit(0))), "OT").otherwise("NT").alias("testament"))
-    scored = _everywhere(spark, d, q, fuzzy=0.0).join(A.verses(spark, d).select("seq", "book", "text"), "seq")
-    best = S.top(S.in_testament(S.rerank(scored, "text", q), half, "NT").withColumn("score", F.round("score", 6)), "seq")
-    return best.select("translation_id", "seq", "book", "score")
+    # the bonus where the text is read: no text is shuffled
+    there = S.in_testament(A.verses(spark, d).select("seq", "book", S.bonus(F.col("text"), q).alias("bonus")), half, "NT")
+    scored = _everywhere(spark, d, q, fuzzy=0.0).join(there, "seq").withColumn("score", F.round(F.col("score") + F.col("bonus"), 6))
+    return S.top(scored, "seq").select("translation_id", "seq", "book", "score")
 
 
 def fuzzy_vocab(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,11 @@
 import math
 import random
 
+from compare import spark_bag, sql_bag, views
+
 from stemma.operators import search as S
+from stemma.plans import adapters as A
+from stemma.plans import lookup as L
 
 DOCS = "seq long, translation_id string, book string, text string, lemmas array<string>"
 
@@ -32,3 +36,33 @@ def test_testament_before_the_limit(spark):
     scored = spark.createDataFrame([(i, f"b{i % 4}", float(-i)) for i in range(40)], "seq long, book string, score double")
     books = spark.createDataFrame([("b0", "OT"), ("b1", "OT"), ("b2", "NT")], "book string, testament string")
     assert [r["seq"] for r in S.top(S.in_testament(scored, books, "NT"), "seq", n=5).collect()] == [2, 6, 10, 14, 18]
+
+
+def test_documents_without_an_index_score_alike(spark):
+    rng = random.Random(5)
+    words = ["shepherd", "shepherds", "sheperd", "shepherding", "h7", "field", "the", "gate"]
+    docs = [(i % 110, rng.choice(["en", "de", "und"]), "b", rng.choice([None, "", "the"] + [" ".join(rng.choices(words, k=rng.randint(1, 9)))] * 9), rng.choice([None, [], ["H7", "H7", "H8"], ["H9"]])) for i in range(120)]
+    df = spark.createDataFrame(docs, DOCS)
+    rows = lambda found: sorted((r["translation_id"], r["seq"], round(r["score"], 6)) for r in found.collect())
+    for q in ("shepherd h7", "gate", "the"):
+        got = rows(S.search_docs(df, "seq", q))
+        assert got == rows(S.search_each(S.field_postings(df, "seq"), "seq", q))
+        assert bool(got) == (q != "the")
+
+
+def indexes(words: list[str], reach: int) -> str:
+    """SQL of s: translation_id, seq, score of every document for the words, over the fields text and lemmas."""
+    found = " union all ".join(L._expansion(w, 0 if w[1].isdigit() else reach).replace("from df", "from (select distinct term, 0 df from idx)") for w in words)
+    return rf"""with {A.VERSES}, fields as (
+  select translation_id, seq, 'text' field, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda w: w <> '' and w not in {L._STOP}) t from verses
+  union all select translation_id, seq, 'lemmas', list_distinct(list_transform(list_filter(string_split_regex(text, '[^A-Za-z]+'), lambda w: length(w) >= 5), lambda w: 'h' || (ascii(lower(w)) * 10 + length(w) % 10))) from verses where translation_id = 'en' and text is not null),
+idx as (select translation_id, seq, field, term, length, count(*) tf from (select translation_id, seq, field, len(t) length, unnest(t) term from fields) group by all),
+docs as (select translation_id, count(distinct seq) n from idx group by 1), means as (select translation_id, field, avg(l) mean from (select translation_id, field, seq, max(length) l from idx group by all) group by all),
+dfs as (select translation_id, field, term, count(*) df from idx group by all), e as ({found}),
+s as (select translation_id, seq, sum({L._BM}) score from idx join (select term, weight from e where weight is not null) using (term) join dfs using (translation_id, field, term) join means using (translation_id, field) join docs using (translation_id) group by all)"""
+
+
+def test_fulltext_translations_beside_sql(spark, sf_dir):
+    got = spark_bag(L.fulltext_translations(spark, sf_dir))
+    assert got == sql_bag(views(sf_dir), f"{indexes(['shepherd', 'h01196'], 2)} select translation_id, seq, round(score, 6) score from s")
+    assert got[1]
