@@ -66,3 +66,11 @@ def test_fulltext_translations_beside_sql(spark, sf_dir):
     got = spark_bag(L.fulltext_translations(spark, sf_dir))
     assert got == sql_bag(views(sf_dir), f"{indexes(['shepherd', 'h01196'], 2)} select translation_id, seq, round(score, 6) score from s")
     assert got[1]
+
+
+def test_testament_search_beside_sql(spark, sf_dir):
+    got = spark_bag(L.testament_search(spark, sf_dir))
+    assert got == sql_bag(views(sf_dir), f"""{indexes(['distant', 'promise'], 0)}, {A.BOOK_ORDER}, half as (select book from book_order where ord * 2 >= (select count(*) from book_order))
+select translation_id, seq, book, round(score + case when contains(lower(text), 'distant promise') then 50 when contains(lower(text), 'distant') and contains(lower(text), 'promise') then 15 else 0 end, 6) score
+from s join verses using (translation_id, seq) semi join half using (book) order by 4 desc, 2 limit 50""")
+    assert got[1]
