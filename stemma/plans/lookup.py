@@ -188,9 +188,10 @@ def testament_search(spark: SparkSession, d: str) -> DataFrame:
     q = "distant promise"
     half = A.book_order(spark, d).select("book", F.when(F.col("ord") * 2 < F.count("*").over(Window.partitionBy(F.lit(0))), "OT").otherwise("NT").alias("testament"))
     # the bonus where the text is read: no text is shuffled
-    there = S.in_testament(A.verses(spark, d).select("seq", "book", S.bonus(F.col("text"), q).alias("bonus")), half, "NT")
-    scored = _everywhere(spark, d, q, fuzzy=0.0).join(there, "seq").withColumn("score", F.round(F.col("score") + F.col("bonus"), 6))
-    return S.top(scored, "seq").select("translation_id", "seq", "book", "score")
+    there = S.in_testament(A.verses(spark, d).select("translation_id", "seq", "book", S.bonus(F.col("text"), q).alias("bonus")), half, "NT")
+    # translations may use the same numbers
+    scored = _everywhere(spark, d, q, fuzzy=0.0).join(there, ["translation_id", "seq"]).withColumn("score", F.round(F.col("score") + F.col("bonus"), 6))
+    return S.top(scored, "seq", "translation_id", "book").select("translation_id", "seq", "book", "score")
 
 
 def fuzzy_vocab(spark: SparkSession, d: str) -> DataFrame:

@@ -74,3 +74,15 @@ def test_testament_search_beside_sql(spark, sf_dir):
 select translation_id, seq, book, round(score + case when contains(lower(text), 'distant promise') then 50 when contains(lower(text), 'distant') and contains(lower(text), 'promise') then 15 else 0 end, 6) score
 from s join verses using (translation_id, seq) semi join half using (book) order by 4 desc, 2 limit 50""")
     assert got[1]
+
+
+def test_testament_search_where_translations_share_numbers(spark, tmp_path):
+    """A number is a document of its own in each translation; of equal scores the translation's name decides which are among the 50."""
+    docs = [(i, t, f"{'b3' if t == 'de' and i % 2 else f'b{i % 4}'}.1.1", text, "s", "k", None) for i in range(60) for t, text in (("fr", "a distant promise"), ("en", "distant gate"), ("de", "a distant promise"), ("el", "gate" if i % 3 else "promise distant"))]
+    spark.createDataFrame(docs, "doc_id long, lang string, osis_ref string, text string, source string, doc_kind string, written_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"b{i}", 1, 9) for i in range(4)], "book string, chapter int, verses int").write.parquet(f"{tmp_path}/ref_counts.parquet")
+    got = spark_bag(L.testament_search(spark, str(tmp_path)))
+    assert got == sql_bag(views(str(tmp_path)), f"""{indexes(['distant', 'promise'], 0)}, {A.BOOK_ORDER}, half as (select book from book_order where ord * 2 >= (select count(*) from book_order))
+select translation_id, seq, book, round(score + case when contains(lower(text), 'distant promise') then 50 when contains(lower(text), 'distant') and contains(lower(text), 'promise') then 15 else 0 end, 6) score
+from s join verses using (translation_id, seq) semi join half using (book) order by 4 desc, 2, 1, 3 limit 50""")
+    assert sum(got[1].values()) == 50
